@@ -1,0 +1,4 @@
+"""All queries of the core and the SQL that checks them."""
+
+QUERIES: dict = {}
+SQL: dict = {}
