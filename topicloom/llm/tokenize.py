@@ -26,7 +26,7 @@ from ..sources.tables import table
 #: Fixed value: the pattern of the vocabulary, which splits text before any merge.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space of the pattern (the Unicode property White_Space).
-_S = "\t\n\v\f\r \x85\xa0  -     　"
+_S = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _UNIT = re.compile(f"[{_S}]*[^{_S}]+|[{_S}]+")
 #: Units in the cache of a worker, and the longest unit that goes there.
 CACHED, LONGEST = 400_000, 64
