@@ -1,8 +1,8 @@
 """All queries of the training-data operators and the SQL that checks them."""
 
-from . import distinctive, neighbours, pairs, term_counts, tokenize
+from . import distinctive, neighbours, pairs, similar_groups, term_counts, tokenize
 
-_MODULES = (neighbours, term_counts, pairs, distinctive, tokenize)
+_MODULES = (similar_groups, neighbours, term_counts, pairs, distinctive, tokenize)
 
 QUERIES = {name: run for m in _MODULES for name, run in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
