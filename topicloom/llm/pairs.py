@@ -21,9 +21,9 @@ from .term_counts import _TOKENS, term_counts
 #: Frequent items in the bit matrix: with BLOCK records a matrix of a few MB.
 DENSE = 512
 #: A block ends after so many records or items.
-BLOCK, BLOCK_ITEMS = 32768, 600_000
+BLOCK, BLOCK_ITEMS = 32768, 300_000
 #: Pairs of rare items that are hashed at once.
-SLICE = 4_000_000
+SLICE = 1_500_000
 
 
 def count_block(sizes: np.ndarray, item: np.ndarray, dense: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
