@@ -81,7 +81,7 @@ class OneVersusRest:
     Features of fewer than `least` documents and ratios below `weak` weigh nothing: they say more about labels' errors.
     """
 
-    def __init__(self, names: list[str], smooth: float = 1.0, least: int = 5, weak: float = 1.8) -> None:
+    def __init__(self, names: list[str], smooth: float = 1.0, least: int = 5, weak: float = 1.2) -> None:
         self.names, self.smooth, self.least, self.weak = names, smooth, least, weak
         self.w, self.b = np.zeros((WIDTH, len(names)), np.float32), np.full(len(names), -2.2, np.float32)
 
@@ -118,15 +118,19 @@ def calibrated(support: list[tuple[np.ndarray, int]], label: list[int]) -> tuple
     mine[np.arange(len(label)), label] = True
     share = counts / np.maximum([[n] for _, n in support], 1)
 
-    def least(value: np.ndarray, steps: list, among: np.ndarray) -> float:
-        for lo, hi in zip(steps, steps[1:] + [np.inf]):
-            at = among & (value >= lo) & (value < hi)
-            if at.sum() >= 5 and mine[at].mean() >= AGREE:
+    def least(value: np.ndarray, steps: list, among: np.ndarray, enough: int) -> float:
+        for k, lo in enumerate(steps):
+            # a step with too few documents is judged with those of the steps above it
+            for hi in steps[k + 1 :] + [np.inf]:
+                at = among & (value >= lo) & (value < hi)
+                if at.sum() >= enough:
+                    break
+            if at.sum() >= enough and mine[at].mean() >= AGREE:
                 return lo
         return steps[-1] + 1
 
-    need = int(least(counts, [2, 3, 4, 5], counts > 1))
-    return need, least(share, [0.1, 0.15, 0.2, 0.25, 0.34, 0.5, 1.0], counts == 1)
+    need = int(least(counts, [2, 3, 4, 5], counts > 1, 5))
+    return need, least(share, [0.1, 0.15, 0.2, 0.25, 0.34, 0.5, 1.0], counts == 1, 20)
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
