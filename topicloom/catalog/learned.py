@@ -104,9 +104,9 @@ def grassmann(spark, d):
 
 
 def embedding_map(spark, d):
-    """What the scatter plot shows: two principal components of the spectral embedding, scaled, of the words of most documents."""
+    """What the scatter plot shows: two principal components of the spectral embedding, scaled; a caller picks the words to draw."""
     flat = spectral.pca(spectral.spectral_embedding(kept(aff.affinity(points(spark, d))), 10)[0], 2)
-    return flat.where(F.col("id") < 26).select("id", six(F.col("vec")[0] * 1e5).alias("x"), six(F.col("vec")[1] * 1e5).alias("y"))
+    return flat.select("id", six(F.col("vec")[0] * 1e5).alias("x"), six(F.col("vec")[1] * 1e5).alias("y"))
 
 
 def graph_prior(spark, d):

@@ -27,17 +27,18 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"unknown metric {metric!r}")
 
 
-def block_pairs(vectors: DataFrame, blocks: int) -> DataFrame:
-    """(i, j, ask, give, id, vec): every vector once as a query for each block and once as a target of each."""
+def block_pairs(vectors: DataFrame, blocks: int, queries: DataFrame | None = None) -> DataFrame:
+    """(i, j, ask, id, vec): every query (by default every vector) once for each block, and every vector once as a target of each."""
     own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     rows = vectors.select("id", "vec", own.alias("own"))
-    ask = rows.select(F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"), F.lit(True).alias("ask"), "id", "vec")
+    asking = rows if queries is None else queries.select("id", "vec", own.alias("own"))
+    ask = asking.select(F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"), F.lit(True).alias("ask"), "id", "vec")
     give = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), F.col("own").alias("j"), F.lit(False).alias("ask"), "id", "vec")
     return ask.union(give)
 
 
-def nearest(vectors: DataFrame, k: int, metric: str = "cosine", block: int = BLOCK, include_self: bool = True) -> DataFrame:
-    """(i, j, rank, dist): the k nearest of every vector, rank from 1, ties to the smaller id; the vector itself counts unless excluded.
+def nearest(vectors: DataFrame, k: int, metric: str = "cosine", block: int = BLOCK, include_self: bool = True, queries: DataFrame | None = None) -> DataFrame:
+    """(i, j, rank, dist): the k nearest of every vector, or of every row of `queries`; rank from 1, ties to the smaller id; the vector itself counts unless excluded.
 
     k is capped at the number of vectors; all-zero vectors have no cosine and neither ask nor answer.
     """
@@ -62,7 +63,7 @@ def nearest(vectors: DataFrame, k: int, metric: str = "cosine", block: int = BLO
             parts.append(pd.DataFrame({"i": np.repeat(own, there.sum(1)), "j": ids[best][there], "dist": far[there]}))
         return pd.concat(parts)
 
-    found = block_pairs(vectors, blocks).groupBy("i", "j").applyInPandas(search, out)
+    found = block_pairs(vectors, blocks, queries).groupBy("i", "j").applyInPandas(search, out)
     order = Window.partitionBy("i").orderBy(F.round("dist", 12), "j")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("i", "j", "rank", "dist")
 
