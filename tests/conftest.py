@@ -49,7 +49,7 @@ def plain(df):
     cols = sorted(df.columns)
 
     def say(v):
-        return "null" if v is None or (not hasattr(v, "__len__") and v != v) or str(v) in ("NaT", "<NA>") else f"{v:.6f}" if isinstance(v, float) else str(v)
+        return "null" if v is None or str(v) in ("NaT", "<NA>", "nan") else f"{v:.6f}" if isinstance(v, float) else str(v)
 
     def number(v):
         return float(v) if isinstance(v, (int, float)) or type(v).__module__ == "numpy" and getattr(v, "ndim", 1) == 0 and not isinstance(v, bool) else v
