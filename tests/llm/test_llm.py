@@ -171,6 +171,24 @@ def test_similar_groups_edge(spark):
     assert similar_groups.similar_groups(edges(spark, chain), "u", "v", "weight").count() == 0  # no three are mutually similar
 
 
+def flat(angles):
+    """Records in a plane, by the degrees of their angles."""
+    return {k: {1: math.cos(math.radians(a)), 2: math.sin(math.radians(a))} for k, a in angles.items()}
+
+
+def groups_of(spark, vectors):
+    rows = similar_groups.similar_groups(edges(spark, vectors), "u", "v", "weight").collect()
+    assert len(rows) == len({r["rec_id"] for r in rows})
+    return {r["rec_id"]: r["group_id"] for r in rows}
+
+
+@pytest.mark.parametrize("chunk", [2048, 8])
+def test_large_group_with_outsiders_and_a_second_group(spark, monkeypatch, chunk):
+    monkeypatch.setattr(similar_groups, "CHUNK", chunk)
+    angles = {k: 0.01 * k for k in range(40)} | {50: 20.0, 51: -20.0} | {60 + k: 42 + 0.01 * k for k in range(30)}
+    assert groups_of(spark, flat(angles)) == {k: 0 for k in range(40)} | {60 + k: 60 for k in range(30)}
+
+
 def test_clusters_describe_all_records(spark):
     vectors = planted()
     got = similar_groups.clusters(edges(spark, vectors), "u", "v", "weight").collect()

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..plans.materialize import kept, written
 from ..sources.tables import table
@@ -26,8 +26,8 @@ WIDTH, AIM, CLUSTERS = 512, 400, 2048
 JOINS, ROUNDS, MOVES = 3, 2, 2
 #: Cosine of hashed vectors from which a record follows a leader; it is below that of the exact comparison.
 LOOSE = 0.9
-#: Records in a chunk.
-CHUNK = 2048
+#: Records in a chunk; branches of the search for the largest group of a vector.
+CHUNK, STEPS = 2048, 200
 
 
 def vectors(df: DataFrame, rec: str, dim: str, weight: str) -> DataFrame:
@@ -256,17 +256,78 @@ def gram(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
     return out / np.outer(*norms)
 
 
+def mutual_groups(near: list[int], n: list[int]) -> list[int]:
+    """For each vertex the smallest vertex of its group, -1 where no group of it counts three records.
+
+    near: closed neighbourhoods as bit sets, n: records of each vertex. A vertex's group is the mutually similar one of most
+    records that it belongs to, of equal ones that of the smallest vertex. Whether there is one of three records is exact;
+    the search for the largest ends after STEPS branches a vertex.
+    """
+    planes = [(1 << b, sum(1 << v for v, x in enumerate(n) if x >> b & 1)) for b in range(max(n).bit_length())]
+    weight = lambda mask: sum(f * (mask & plane).bit_count() for f, plane in planes)
+    low = lambda mask: (mask & -mask).bit_length() - 1
+    best = [(0, 0)] * len(near)  # (records, minus the smallest vertex)
+    full = [weight(x) for x in near]
+
+    def bits(mask: int) -> Iterator[int]:
+        while mask:
+            yield low(mask)
+            mask &= mask - 1
+
+    for v in sorted(range(len(near)), key=lambda v: (-full[v], v)):
+        stack, steps = [(1 << v, near[v] & ~(1 << v))], 0
+        while stack and (steps < STEPS or not best[v][0]):
+            chosen, left = stack.pop()
+            if (weight(chosen | left), -low(chosen | left)) <= best[v]:
+                continue
+            steps += 1
+            while left:
+                pivot = max(bits(left), key=lambda u: weight(left & near[u]))
+                others = left & ~near[pivot]
+                rest = left & ~(1 << pivot)
+                for x in bits(others):
+                    stack.append((chosen | 1 << x, rest & near[x] & ~(1 << x)))
+                    rest &= ~(1 << x)
+                chosen, left = chosen | 1 << pivot, left & near[pivot] & ~(1 << pivot)
+            size = (weight(chosen), -low(chosen))
+            for x in bits(chosen):
+                best[x] = max(best[x], size)
+    return [-at if records >= 3 else -1 for records, at in best]
+
+
+def _bits(like: np.ndarray) -> list[bytes]:
+    """Rows of a boolean matrix as little-endian bit sets."""
+    return [r.tobytes() for r in np.packbits(like, axis=1, bitorder="little")]
+
+
+def _grouped(like: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """mutual_groups of a boolean matrix; rows with the same neighbourhood stand in the same groups and count as one."""
+    rows = _bits(like)
+    heads = {r: k for k, r in reversed(list(enumerate(rows)))}
+    kinds = sorted(heads.values())
+    own = np.searchsorted(kinds, [heads[r] for r in rows])
+    near = [int.from_bytes(r, "little") for r in _bits(like[np.ix_(kinds, kinds)])]
+    got = np.array(mutual_groups(near, np.bincount(own, n).astype(int).tolist()))[own]
+    return np.where(got < 0, -1, np.array(kinds)[got])
+
+
 def exact_groups(marked: DataFrame, least: float) -> DataFrame:
     """(rep, group): of candidates (label, rep, n, dims, ws) those in groups of at least three mutually similar records.
 
-    Where the candidates of a label are not all similar to each other, they are taken in order of rep, each into the first
-    group to all of whose members it is similar. Labels of more than CHUNK vectors are compared chunk by chunk instead, and
-    those similar to all others remain.
+    Labels of more than CHUNK vectors are compared chunk by chunk: vectors with the same neighbourhood become one (each is
+    known by two sums of hashes), and only the similarities of these meet in one task, as bits.
     """
     sizes = marked.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("records")).where(F.col("records") >= 3)
     marked = kept(marked.join(sizes, "label"))
     id_kind = marked.schema["rep"].dataType.simpleString()
 
+    def alike(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> np.ndarray:
+        like = gram(a, b) >= least - 1e-12
+        if same:
+            like |= like.T
+            np.fill_diagonal(like, True)
+        return like
+
     def small(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep", ignore_index=True)
         like = gram(pdf, pdf) >= least - 1e-12
@@ -284,20 +345,63 @@ def exact_groups(marked: DataFrame, least: float) -> DataFrame:
         good = pdf.groupby("g")["n"].transform("sum") >= 3
         return pd.DataFrame({"rep": pdf["rep"], "group": pdf.groupby("g")["rep"].transform("min")})[good]
 
-    done = marked.where(F.col("m") <= CHUNK).groupBy("label").applyInPandas(small, f"rep {id_kind}, group {id_kind}")
-    large = marked.where(F.col("m") > CHUNK).withColumn("chunks", F.ceil(F.col("m") / CHUNK)).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
-    def differ(pdf: pd.DataFrame) -> pd.DataFrame:
+    def several(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rep", ignore_index=True)
+        group, rep = _grouped(alike(pdf, pdf, True), pdf["n"].to_numpy()), pdf["rep"].to_numpy()
+        return pd.DataFrame({"rep": rep[group >= 0], "group": rep[group[group >= 0]]})
+
+    pair_kind = f"rep {id_kind}, group {id_kind}"
+    done = marked.where(F.col("m") <= CHUNK).groupBy("label").applyInPandas(small, pair_kind)
+    large = marked.where(F.col("m") > CHUNK).select("label", "rep", "n", "dims", "ws")
+    if large.isEmpty():
+        return done
+
+    def meeting(rows: DataFrame):
+        """The vectors of every two chunks of a label: chunks are ranges of rep."""
+        at = F.row_number().over(Window.partitionBy("label").orderBy("rep")) - 1
+        total = F.count(F.lit(1)).over(Window.partitionBy("label"))
+        place = rows.select("label", "rep", F.floor(at / CHUNK).alias("chunk"), F.ceil(total / CHUNK).alias("chunks"))
+        cut = rows.join(place, ["label", "rep"])
+        return cut.select("label", "rep", "n", "dims", "ws", "chunk", F.explode(_chunk_pairs()).alias("p")).select("label", "rep", "n", "dims", "ws", "chunk", "p.*").groupBy("label", "i", "j")
+
+    def sides(pdf: pd.DataFrame) -> list[tuple[pd.DataFrame, pd.DataFrame, np.ndarray]]:
+        """Rows, the others, their similarity: both ways, or once where a chunk meets itself."""
+        pdf = pdf.sort_values("rep", ignore_index=True)
         a, b = pdf[pdf["chunk"] == pdf["i"]], pdf[pdf["chunk"] == pdf["j"]]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"label": pdf["label"][:0], "rep": pdf["rep"][:0], "n": pdf["n"][:0], "bad": np.zeros(0, np.int64)})
-        bad = gram(a, b) < least - 1e-12
-        rows = [pd.DataFrame({"label": x["label"], "rep": x["rep"], "n": x["n"], "bad": bad.sum(axis)}) for x, axis in ((a, 1), (b, 0))]
-        return pd.concat(rows if pdf["i"].iloc[0] != pdf["j"].iloc[0] else rows[:1])
-
-    seen = large.select("label", "rep", "n", "dims", "ws", "chunk", F.explode(_chunk_pairs()).alias("p")).select("label", "rep", "n", "dims", "ws", "chunk", "p.*")
-    bad = seen.groupBy("label", "i", "j").applyInPandas(differ, f"label {id_kind}, rep {id_kind}, n long, bad long").groupBy("label", "rep", "n").agg(F.sum("bad").alias("bad")).where(F.col("bad") == 0)
-    heads = bad.groupBy("label").agg(F.min("rep").alias("group"), F.sum("n").alias("records")).where(F.col("records") >= 3)
-    return done.union(bad.join(heads, "label").select("rep", "group"))
+        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        like = alike(a, b, same)
+        return [(a, b, like)] if same else [(a, b, like), (b, a, like.T)]
+
+    def around(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for a, b, like in sides(pdf):
+            h = np.stack([(mixed(b["rep"].to_numpy(), seed) >> np.uint64(24)).astype(np.int64) for seed in (11, 12)], 1)
+            sums = np.stack([np.where(like, h[:, k], 0).sum(1) for k in (0, 1)], 1)
+            parts.append(pd.DataFrame({"label": a["label"], "rep": a["rep"], "n": a["n"], "h": sums[:, 0], "g": sums[:, 1]}))
+        return pd.concat(parts)
+
+    twins = written(meeting(large).applyInPandas(around, f"label {id_kind}, rep {id_kind}, n long, h long, g long").groupBy("label", "rep", "n").agg(F.sum("h").alias("h"), F.sum("g").alias("g")))
+    kinds = twins.groupBy("label", "h", "g").agg(F.min("rep").alias("head"), F.sum("n").alias("n"))
+    of_kind = twins.join(kinds.drop("n"), ["label", "h", "g"]).select("rep", "head")
+    heads = large.drop("n").join(kinds.select(F.col("head").alias("rep"), "n"), "rep")
+    heads = kept(heads.join(heads.groupBy("label").agg(F.count(F.lit(1)).alias("m")), "label"))
+
+    def rows_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat(pd.DataFrame({"label": a["label"], "rep": a["rep"], "n": a["n"], "other": pdf["j"].iloc[0] if k == 0 else pdf["i"].iloc[0], "bits": _bits(like)}) for k, (a, _, like) in enumerate(sides(pdf)))
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["rep", "other"])
+        first = pdf.drop_duplicates("rep")
+        rep, near = first["rep"].to_numpy(), dict.fromkeys(first["rep"], 0)
+        for r, other, b in zip(pdf["rep"], pdf["other"], pdf["bits"]):
+            near[r] |= int.from_bytes(b, "little") << int(other) * CHUNK
+        got = np.array(mutual_groups(list(near.values()), first["n"].tolist()))
+        return pd.DataFrame({"rep": rep[got >= 0], "group": rep[got[got >= 0]]})
+
+    few = heads.where(F.col("m") <= CHUNK).groupBy("label").applyInPandas(several, pair_kind)
+    many = meeting(heads.where(F.col("m") > CHUNK)).applyInPandas(rows_of, f"label {id_kind}, rep {id_kind}, n long, other long, bits binary").groupBy("label").applyInPandas(joined, pair_kind)
+    groups = few.union(many).withColumnRenamed("rep", "head")
+    return done.union(of_kind.join(groups, "head").select("rep", "group"))
 
 
 def similar_groups(df: DataFrame, rec: str, dim: str, weight: str, least: float = 0.95) -> DataFrame:
@@ -329,8 +433,6 @@ def clusters(df: DataFrame, rec: str, dim: str, weight: str, typical: int = 5) -
 def ranked_members(own: DataFrame, typical: int) -> DataFrame:
     """A bounded list per cluster: the nearest of each of 64 salted parts first, then of all parts."""
     best = lambda c: F.slice(F.sort_array(c), 1, typical)
-    from pyspark.sql import Window
-
     part = F.pmod(F.xxhash64("rep"), F.lit(64))
     near = own.select("c", "rep", "n", (-F.col("cos")).alias("far"), part.alias("part"))
     sizes = near.groupBy("c").agg(F.sum("n").alias("size"))
