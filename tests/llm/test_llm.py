@@ -189,6 +189,25 @@ def test_large_group_with_outsiders_and_a_second_group(spark, monkeypatch, chunk
     assert groups_of(spark, flat(angles)) == {k: 0 for k in range(40)} | {60 + k: 60 for k in range(30)}
 
 
+def test_first_record_does_not_spoil_a_group(spark):
+    assert groups_of(spark, flat({1: 0, 2: 15, 3: 25, 4: 30})) == {2: 2, 3: 2, 4: 2}
+
+
+def test_overlapping_groups_against_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    angles = {k: rng.uniform(0, 170) for k in rng.sample(range(1000), 40)}
+    like = {(a, b): math.cos(math.radians(angles[a] - angles[b])) >= 0.95 for a in angles for b in angles}
+    want = {}
+    for k in angles:  # mutually similar angles lie in an arc; each of them starts at a member
+        arcs = [[o for o in angles if angles[o] >= angles[s] and like[s, o]] for s in angles if like[s, k] and angles[s] <= angles[k]]
+        size, head = max((len(g), -min(g)) for g in arcs)
+        if size >= 3:
+            want[k] = -head
+    for chunk in (2048, 4):
+        monkeypatch.setattr(similar_groups, "CHUNK", chunk)
+        assert groups_of(spark, flat(angles)) == want
+
+
 def test_clusters_describe_all_records(spark):
     vectors = planted()
     got = similar_groups.clusters(edges(spark, vectors), "u", "v", "weight").collect()

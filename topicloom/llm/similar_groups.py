@@ -328,30 +328,13 @@ def exact_groups(marked: DataFrame, least: float) -> DataFrame:
             np.fill_diagonal(like, True)
         return like
 
-    def small(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep", ignore_index=True)
-        like = gram(pdf, pdf) >= least - 1e-12
-        np.fill_diagonal(like, True)
-        group = np.zeros(len(pdf), np.int64)
-        if not like.all():
-            heads: list[np.ndarray] = []  # of each group, the rows that are similar to all its members
-            for i in range(len(pdf)):
-                g = next((k for k, ok in enumerate(heads) if ok[i]), len(heads))
-                if g == len(heads):
-                    heads.append(np.ones(len(pdf), bool))
-                heads[g] &= like[i]
-                group[i] = g
-        pdf = pdf.assign(g=group)
-        good = pdf.groupby("g")["n"].transform("sum") >= 3
-        return pd.DataFrame({"rep": pdf["rep"], "group": pdf.groupby("g")["rep"].transform("min")})[good]
-
     def several(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep", ignore_index=True)
         group, rep = _grouped(alike(pdf, pdf, True), pdf["n"].to_numpy()), pdf["rep"].to_numpy()
         return pd.DataFrame({"rep": rep[group >= 0], "group": rep[group[group >= 0]]})
 
     pair_kind = f"rep {id_kind}, group {id_kind}"
-    done = marked.where(F.col("m") <= CHUNK).groupBy("label").applyInPandas(small, pair_kind)
+    done = marked.where(F.col("m") <= CHUNK).groupBy("label").applyInPandas(several, pair_kind)
     large = marked.where(F.col("m") > CHUNK).select("label", "rep", "n", "dims", "ws")
     if large.isEmpty():
         return done
