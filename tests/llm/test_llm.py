@@ -208,6 +208,24 @@ def test_overlapping_groups_against_brute_force(spark, monkeypatch):
         assert groups_of(spark, flat(angles)) == want
 
 
+@pytest.mark.parametrize("chunk", [2048, 3])
+def test_group_between_two_leaders(spark, monkeypatch, chunk):
+    monkeypatch.setattr(similar_groups, "CHUNK", chunk)
+    angles = {0: -20.7, 1: 20.7} | {10 + k: (0.5 + 0.01 * k) * (-1) ** k for k in range(8)}
+    assert groups_of(spark, flat(angles)) == {10 + k: 10 for k in range(8)}
+
+
+def test_components(spark):
+    rng = random.Random(8)
+    links = [(k, k + 1) for k in range(60, 90)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(30)]
+    label = {v: v for e in links for v in e}
+    for _ in label:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r["v"]: r["u"] for r in similar_groups.components(spark.createDataFrame(links, "v int, u int")).collect()}
+    assert got == {v: u for v, u in label.items() if v != u}
+
+
 def test_clusters_describe_all_records(spark):
     vectors = planted()
     got = similar_groups.clusters(edges(spark, vectors), "u", "v", "weight").collect()

@@ -4,9 +4,9 @@ A record's entries become a vector of hashed, signed, weighted features. Distrib
 drawn by parallel oversampling (rounds of weighted sampling without replacement, one pass each), reclustered with their
 weights on the driver, then moved by a few passes. A cluster is described by its size and the members nearest its centroid.
 
-For groups above a cosine, each record joins its nearest clusters; within one, bounded chunks are reduced to leaders and
-the leaders of all chunks meet again, so a large tight group costs one row per chunk. Labels are joined over clusters, and
-an exact comparison of the unhashed vectors decides. Equal vectors are one row with a count all the way.
+For groups above a cosine, each record joins its nearest clusters; within one, all links of a bounded chunk are followed,
+and the leaders of every two chunks meet again, so a large tight group costs one row per chunk. Connected components over
+the links of all clusters are candidates, and an exact comparison of the unhashed vectors decides. Equal vectors are one row with a count all the way.
 """
 
 from __future__ import annotations
@@ -24,10 +24,12 @@ from ..sources.tables import table
 WIDTH, AIM, CLUSTERS = 512, 400, 2048
 #: Clusters that a record joins, rounds of seeding, passes that move the centroids.
 JOINS, ROUNDS, MOVES = 3, 2, 2
-#: Cosine of hashed vectors from which a record follows a leader; it is below that of the exact comparison.
-LOOSE = 0.9
-#: Records in a chunk; branches of the search for the largest group of a vector.
-CHUNK, STEPS = 2048, 200
+#: Cosine of hashed vectors that links two records; it is below that of the exact comparison. Where chunks meet, a row stands
+#: for those at TIGHT or more, and WIDE is the angle of LOOSE plus two of TIGHT, so that no link is lost.
+LOOSE, TIGHT = 0.9, 0.998
+WIDE = float(np.cos(np.arccos(LOOSE) + 2 * np.arccos(TIGHT)))
+#: Records in a chunk; branches of the search for the largest group of a vector, and of all vectors of a label.
+CHUNK, STEPS, POOL = 2048, 200, 2000
 
 
 def vectors(df: DataFrame, rec: str, dim: str, weight: str) -> DataFrame:
@@ -180,19 +182,28 @@ def _schema(df: DataFrame) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
 
 
-def follow_leaders(x: np.ndarray) -> np.ndarray:
-    """For each row (in order) the index of its leader: a row without one at LOOSE or more leads; others follow their likest leader."""
-    leaders: list[int] = []
+def parts(like: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric boolean matrix the first row of its connected component."""
+    first = np.full(len(like), -1)
+    for i in range(len(like)):
+        new = np.array([i]) if first[i] < 0 else np.array([], int)
+        while len(new):
+            first[new] = i
+            new = np.flatnonzero(like[new].any(0) & (first < 0))
+    return first
+
+
+def leads(x: np.ndarray) -> np.ndarray:
+    """Rows such that every row has one of them at TIGHT or more, itself included."""
+    lead = np.zeros(len(x), bool)
+    led = np.zeros(len(x), bool)
     for at in range(0, len(x), 256):
-        block = x[at : at + 256]
-        led = (block @ x[leaders].T >= LOOSE).any(1) if leaders else np.zeros(len(block), bool)
-        own = block @ block.T >= LOOSE
-        for i in range(len(block)):
+        own = x[at : at + 256] @ x.T >= TIGHT
+        for i, near in enumerate(own, at):
             if not led[i]:
-                leaders.append(at + i)
-                led |= own[i]
-    lead = np.array(leaders)
-    return np.concatenate([lead[(x[at : at + 1024] @ x[lead].T).argmax(1)] for at in range(0, len(x), 1024)])
+                lead[i] = True
+                led |= near
+    return lead
 
 
 def _chunk_pairs():
@@ -200,40 +211,48 @@ def _chunk_pairs():
     return F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: F.struct(F.least("chunk", j).alias("i"), F.greatest("chunk", j).alias("j")))
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(v, u): each end of a link (v, u), but the smallest of its connected component, with that one. Alternating stars, until nothing changes."""
+    links = written(links.where(F.col("v") != F.col("u")).select(F.greatest("v", "u").alias("v"), F.least("v", "u").alias("u")).distinct())
+    while True:
+        twice = links.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("v")
+        inner = links.join(links.select(F.col("u").alias("v")), "v", "left_semi").select("v")
+        if twice.union(inner).isEmpty():
+            return links
+        both = links.union(links.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
+        # the larger neighbours of every vertex link to the smallest of all its neighbours and itself, then the smaller ones do
+        large = both.where(F.col("u") > F.col("v")).join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        large = written(large)
+        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where(F.col("v") != F.col("u"))
+        links = written(small.union(least.select("v", F.col("m").alias("u"))).distinct())
+
+
 def candidate_labels(vecs: DataFrame, centres: np.ndarray) -> DataFrame:
-    """(rep, label): label is the smallest leader that is reached over any cluster."""
-    spark = vecs.sparkSession
+    """(rep, label): label is the smallest vector that is reached by links of LOOSE or more within any cluster."""
     rows = assigned(vecs, centres, JOINS).select("c", "rep", "dims", "ws")
     sizes = rows.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("chunks"))
     rows = rows.join(F.broadcast(sizes), "c").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))  # a row for each cluster: bounded
 
-    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep", ignore_index=True)
-        own = follow_leaders(hashed(pdf["dims"], pdf["ws"]))
-        return pdf[["c", "rep", "dims", "ws"]].assign(leader=pdf["rep"].to_numpy()[own])
+        x, rep = hashed(pdf["dims"], pdf["ws"]), pdf["rep"].to_numpy()
+        ahead = leads(x) if pdf["chunks"].iloc[0] > 1 else False
+        return pdf[["c", "chunk", "chunks", "rep", "dims", "ws"]].assign(u=rep[parts(x @ x.T >= LOOSE - 1e-6)], ahead=ahead)
 
-    kind = f"c int, {_schema(vecs.select('rep', 'dims', 'ws'))}, leader {vecs.schema['rep'].dataType.simpleString()}"
-    first = written(rows.groupBy("c", "chunk").applyInPandas(lead, kind))
-    # where a cluster has several chunks, the leaders of every two of them meet
-    several = F.broadcast(sizes.where(F.col("chunks") > 1))
-    ahead = first.where(F.col("rep") == F.col("leader")).select("c", "rep", "dims", "ws").join(several, "c").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+    id_kind = vecs.schema["rep"].dataType.simpleString()
+    first = written(rows.groupBy("c", "chunk").applyInPandas(within, f"c int, chunk long, chunks long, {_schema(vecs.select('rep', 'dims', 'ws'))}, u {id_kind}, ahead boolean"))
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep", ignore_index=True)
         x, rep = hashed(pdf["dims"], pdf["ws"]), pdf["rep"].to_numpy()
-        least = np.concatenate([(x[at : at + 1024] @ x.T >= LOOSE - 1e-6).argmax(1) for at in range(0, len(x), 1024)])
-        return pd.DataFrame({"rep": rep, "leader": rep[np.minimum(least, np.arange(len(x)))]})
+        return pd.DataFrame({"v": rep, "u": rep[parts(x @ x.T >= WIDE - 1e-6)]})
 
-    met = ahead.select("c", "rep", "dims", "ws", F.explode(_chunk_pairs()).alias("p")).select("c", "rep", "dims", "ws", "p.*").groupBy("c", "i", "j")
-    id_kind = vecs.schema["rep"].dataType.simpleString()
-    edges = first.select("rep", "leader").union(met.applyInPandas(meet, f"rep {id_kind}, leader {id_kind}"))
-    labels = written(edges.groupBy("rep").agg(F.min("leader").alias("label")))
-    for _ in range(10):
-        top = labels.where(F.col("rep") != F.col("label")).select(F.col("rep").alias("label"), F.col("label").alias("higher"))
-        if labels.join(top, "label", "left_semi").isEmpty():
-            break
-        labels = written(labels.join(top, "label", "left").select("rep", F.coalesce("higher", "label").alias("label")))
-    return spark.createDataFrame([], labels.schema).union(labels)
+    # where a cluster has several chunks, those of every two of them meet
+    met = first.where("ahead").select("c", "rep", "dims", "ws", "chunk", F.explode(_chunk_pairs()).alias("p")).where("p.i < p.j").select("c", "rep", "dims", "ws", "p.*").groupBy("c", "i", "j")
+    links = first.select(F.col("rep").alias("v"), "u").union(met.applyInPandas(across, f"v {id_kind}, u {id_kind}"))
+    return vecs.select("rep").join(components(links).select(F.col("v").alias("rep"), "u"), "rep", "left").select("rep", F.coalesce("u", "rep").alias("label"))
 
 
 def gram(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
@@ -261,13 +280,13 @@ def mutual_groups(near: list[int], n: list[int]) -> list[int]:
 
     near: closed neighbourhoods as bit sets, n: records of each vertex. A vertex's group is the mutually similar one of most
     records that it belongs to, of equal ones that of the smallest vertex. Whether there is one of three records is exact;
-    the search for the largest ends after STEPS branches a vertex.
+    the search for the largest ends after STEPS branches a vertex, and POOL branches of a label.
     """
     planes = [(1 << b, sum(1 << v for v, x in enumerate(n) if x >> b & 1)) for b in range(max(n).bit_length())]
     weight = lambda mask: sum(f * (mask & plane).bit_count() for f, plane in planes)
     low = lambda mask: (mask & -mask).bit_length() - 1
     best = [(0, 0)] * len(near)  # (records, minus the smallest vertex)
-    full = [weight(x) for x in near]
+    full, pool = [weight(x) for x in near], POOL
 
     def bits(mask: int) -> Iterator[int]:
         while mask:
@@ -276,11 +295,11 @@ def mutual_groups(near: list[int], n: list[int]) -> list[int]:
 
     for v in sorted(range(len(near)), key=lambda v: (-full[v], v)):
         stack, steps = [(1 << v, near[v] & ~(1 << v))], 0
-        while stack and (steps < STEPS or not best[v][0]):
+        while stack and (steps < STEPS and pool > 0 or not best[v][0]):
             chosen, left = stack.pop()
             if (weight(chosen | left), -low(chosen | left)) <= best[v]:
                 continue
-            steps += 1
+            steps, pool = steps + 1, pool - 1
             while left:
                 pivot = max(bits(left), key=lambda u: weight(left & near[u]))
                 others = left & ~near[pivot]
