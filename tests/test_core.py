@@ -247,6 +247,16 @@ def test_symmetric_lda(spark):
     assert len(sums) == 2 and all(abs(r["s"] - 1) < 1e-6 for r in sums)
 
 
+@pytest.mark.parametrize("name", ["lda_symmetric", "lda_eta"])
+def test_lda_queries_have_all_topics_and_words(name, spark, data):
+    from topicloom.catalog import corpus, learned
+
+    c = corpus.cleaned(spark, data)
+    n = dic.lda_input(c, c.count())[1].count()
+    got = learned.QUERIES[name](spark, data).agg(F.countDistinct("topic"), F.countDistinct("token_id"), F.count(F.lit(1))).first()
+    assert n > 1000 and tuple(got) == (learned.TOPICS, n, learned.TOPICS * n)
+
+
 def test_metrics(spark):
     v, truth = blobs(spark)
     labels = frame(spark, [(i, int(t)) for i, t in enumerate(truth)], "id long, label int")

@@ -68,23 +68,23 @@ def topic_prior_rw(spark, d):
     return pipeline.run_prior(points(spark, d), pipeline.Settings(mode="rw", topics=10))
 
 
-def _bow(spark: SparkSession, d: str, keep: int = 1000) -> tuple[DataFrame, DataFrame, int]:
+def _bow(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
     c = cleaned(spark, d)
-    bow, words = dic.lda_input(c, c.count(), keep_n=keep)
+    bow, words = dic.lda_input(c, c.count())
     words = kept(words)
     return kept(bow), words, words.count()
 
 
 def lda_symmetric(spark, d):
     bow, _, n = _bow(spark, d)
-    return lda.symmetric(bow, n, topics=10, passes=5)
+    return lda.symmetric(bow, n, topics=TOPICS, passes=10)
 
 
 def lda_eta(spark, d):
     bow, words, n = _bow(spark, d)
     p = prior.soft_prior(table(spark, d, "predictions"), TOPICS)
-    eta = prior.align_eta(p, table(spark, d, "word_vectors"), words, 10)
-    return lda.MatrixPriorLDA(lda.eta_matrix(eta, 10, n, floor=1e-3), passes=5).fit(bow).topics(bow)
+    eta = prior.align_eta(p, table(spark, d, "word_vectors"), words, TOPICS)
+    return lda.MatrixPriorLDA(lda.eta_matrix(eta, TOPICS, n, floor=1e-3), passes=10).fit(bow).topics(bow)
 
 
 def ann_knn(spark, d):

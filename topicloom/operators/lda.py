@@ -109,8 +109,15 @@ class MatrixPriorLDA:
     def topics(self, bow: DataFrame) -> DataFrame:
         """(topic, token_id, weight), each topic's sum is 1."""
         p = self.lam / self.lam.sum(1, keepdims=True)
-        rows = [(t, w, float(p[t, w])) for t in range(p.shape[0]) for w in range(p.shape[1])]
-        return bow.sparkSession.createDataFrame(pd.DataFrame(rows, columns=["topic", "token_id", "weight"]), "topic int, token_id int, weight double")
+        rows = bow.sparkSession.createDataFrame([(t, bytearray(row.tobytes())) for t, row in enumerate(p)], "topic int, w binary")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for t, w in zip(b["topic"], b["w"]):
+                    w = np.frombuffer(w)
+                    yield pd.DataFrame({"topic": np.full(len(w), t, np.int32), "token_id": np.arange(len(w), dtype=np.int32), "weight": w})
+
+        return rows.mapInPandas(run, "topic int, token_id int, weight double")
 
 
 def eta_matrix(eta: DataFrame, topics: int, n_words: int, floor: float = 0.0) -> np.ndarray:
