@@ -278,6 +278,23 @@ def test_nearest_with_copies_and_few_rows(spark):
     assert {(r["ix"], r["nbr"]) for r in two} == {(1, 2), (2, 1)}
 
 
+def test_nearest_with_scaled_copies(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(240, 50))
+    x[:40] = x[0] * rng.uniform(0.5, 3, 40)[:, None]
+    x[200:] = x[0].astype(np.float32)
+    rows = list(enumerate(x.astype(np.float32).astype(float)))
+    got = neighbours.nearest(neighbours.usable(vec_frame(spark, rows), 50), 5).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["ix"], []).append(r["nbr"])
+    u = neighbours.unit(np.array([v for _, v in rows]))
+    s = np.round(u @ u.T, 12)
+    np.fill_diagonal(s, -2)
+    want = np.argsort(-s, axis=1, kind="stable")[:, :5]
+    assert all(sorted(by[i]) == sorted(want[i].tolist()) for i in [*range(40), *range(200, 240)])
+
+
 def test_footrule():
     rng = np.random.default_rng(0)
     near = np.array([rng.permutation(40)[:32] for _ in range(6)]).astype(np.int16)
