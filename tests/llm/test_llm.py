@@ -374,6 +374,17 @@ def test_leaks(spark):
     assert leaks.items_of(table) == [(2, "a b c")]
 
 
+def test_leak_behind_many_repetitions():
+    rng = random.Random(3)
+    item = prose(rng, 40)
+    own = leaks.Items([(1, " ".join(item))])
+    text = [w for _ in range(60) for w in item[:14] + prose(rng, 10)] + item[20:30]
+    at = {}
+    for j, h in enumerate(leaks.shingles(leaks.codes(text, leaks._Codes()), 2).tolist()):
+        at.setdefault(h, []).append(j)
+    assert own.share(0, at) >= leaks.HALF
+
+
 def test_leak_pieces(spark, monkeypatch):
     monkeypatch.setattr(leaks, "PIECE", 700)
     monkeypatch.setattr(leaks, "OVERLAP", 600)

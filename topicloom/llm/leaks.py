@@ -153,12 +153,18 @@ class Items:
             if exact >= STRETCH and exact >= 0.7 * (b - a):
                 good.append((a, b, c[0][0]))
         size, best = len(self.codes[n]), 0
-        good = sorted(good, key=lambda g: g[0] - g[1])[:50]
-        for x, (a, b, j) in enumerate(good):
-            best = max(best, b - a)
-            for c, d, k in good[x + 1 :]:
-                if (a < c) == (j < k):  # in order
-                    best = max(best, b - a + d - c - max(0, min(b, d) - max(a, c)))
+        first: dict[tuple[int, int], int] = {}
+        last: dict[tuple[int, int], int] = {}
+        for a, b, j in good:  # of equal stretches, the earliest and the latest place in the document say all
+            first[a, b] = min(first.get((a, b), j), j)
+            last[a, b] = max(last.get((a, b), j), j)
+        if first:
+            spans, late = np.array(list(first)), np.array([last[s] for s in first])
+            for (a, b), j in first.items():
+                best = max(best, b - a)
+                then = spans[(spans[:, 0] > a) & (late > j)]  # in order
+                if len(then):
+                    best = max(best, int((b - a + then[:, 1] - then[:, 0] - np.maximum(0, np.minimum(b, then[:, 1]) - then[:, 0])).max()))
         return best / size if size else 0.0
 
 
