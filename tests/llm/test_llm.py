@@ -385,13 +385,23 @@ def test_leak_behind_many_repetitions():
     assert own.share(0, at) >= leaks.HALF
 
 
-def test_leak_pieces(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "PIECE", 700)
-    monkeypatch.setattr(leaks, "OVERLAP", 600)
+@pytest.mark.parametrize("piece", [90, 700])
+def test_long_texts_are_judged_whole(spark, monkeypatch, piece):
     rng = random.Random(2)
-    items = [(1, " ".join(prose(rng, 40)))]
-    df = spark.createDataFrame([(0, " ".join(prose(rng, 300)) + " " + items[0][1] + " " + " ".join(prose(rng, 300)))], "doc_id long, text string")
-    assert leaks.leaks(df, items).count() == 1
+    items = [(k, " ".join(prose(rng, 40))) for k in range(4)]
+    body = [t.split() for _, t in items]
+    fill = lambda n=300: " ".join(prose(rng, n))
+    texts = [f"{fill()} {items[1][1]} {fill()}", " ".join([fill(), *body[2][:12], fill(3000), *body[2][25:38], fill()]), " ".join([*body[3][25:38], fill(900), *body[3][:12]]), "x" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(leaks, "PIECE", piece)
+    known = leaks._Codes()
+    assert all(leaks.text_codes(t, known).tolist() == leaks.codes(leaks.words(t), known).tolist() for t in [*texts, "", None, " "])
+    assert {tuple(r) for r in leaks.leaks(df, items).collect()} == {(0, 1), (1, 2)}  # in the third text the stretches stand in the other order
+
+
+def test_words_without_differences_of_writing():
+    assert leaks.words("Dеcіde whеther thе cla\u00adim — “Ｆｕｌｌ” NAÏVE") == ["decide", "whether", "the", "claim", "full", "naive"]
+    assert leaks.words("Тот мир") == leaks.words("ТОТ МИР") and leaks.words(None) == []
 
 
 def test_reading_levels(spark, data):

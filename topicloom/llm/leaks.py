@@ -27,16 +27,23 @@ from ..sources.tables import table
 HASHES, SHARED, BLOCK = 32, 3, 4096
 #: Share of an item's words that makes a case, and the least words of a stretch.
 HALF, STRETCH = 0.5, 5
-#: Characters of a document that are sketched at once; pieces overlap, so none is lost.
-PIECE, OVERLAP = 2_000_000, 20_000
+#: Characters that are cut into words at once; a document's codes are put together again before anything is judged.
+PIECE = 2_000_000
 
-_WORD = re.compile(r"[^\W_]+")
+_WORD, _GAP = re.compile(r"[^\W_]+"), re.compile(r"\s")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _MULTIPLIERS = np.array([((2 * k + 1) * 0xD6E8FEB86659FD93 + 0x2545F4914F6CDD1D) % 2**64 | 1 for k in range(HASHES)], np.uint64)
 
 
+#: Cyrillic and Greek letters, in lower case, that look like Latin ones in either case, and these.
+_LOOKS = dict(zip("авекмнорстухіјѕһԁԛԝӏαβεζηικμνορτυχ", "abekmhopctyxijshdqwlabezhikmvoptux", strict=True))
+
+
 class _Plain(dict):
-    """Character map: format characters (soft hyphens, zero widths) and combining marks vanish."""
+    """Character map: format characters (soft hyphens, zero widths) and combining marks vanish, look-alikes become Latin."""
+
+    def __init__(self) -> None:
+        self |= {ord(a): ord(b) for a, b in _LOOKS.items()}
 
     def __missing__(self, c: int) -> int | None:
         self[c] = None if unicodedata.category(chr(c)) in ("Cf", "Mn") else c
@@ -47,11 +54,11 @@ _plain = _Plain()
 
 
 def words(text: str | None) -> list[str]:
-    """The words of a text without differences of writing: case, width, accents, invisible characters, punctuation, layout."""
+    """The words of a text without differences of writing: case, width, accents, look-alike letters, invisible characters, punctuation, layout."""
     if not text:
         return []
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text).translate(_plain)
+        text = unicodedata.normalize("NFKD", text).lower().translate(_plain)
     return _WORD.findall(text.lower())
 
 
@@ -72,6 +79,18 @@ def codes(ws: list[str], known: _Codes) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
 
 
+def text_codes(text: str | None, known: _Codes) -> np.ndarray:
+    """Codes of all words of a text; long ones are read in pieces that end at white space, so memory holds eight bytes a word."""
+    text, at, parts = text or "", 0, []
+    while at < len(text):
+        to = at + PIECE
+        gap = _GAP.search(text, to) if to < len(text) else None
+        to = gap.start() if gap else len(text)
+        parts.append(codes(words(text[at:to]), known))
+        at = to
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
 def shingles(c: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n words, n = 2 or 3."""
     if len(c) < n:
@@ -89,11 +108,12 @@ class Items:
         self.codes = [codes(words(t), known) for _, t in rows]
         in_items = Counter(h for c in self.codes for h in set(shingles(c, 3).tolist()))
         self.classes: dict[int, list[dict[int, list[int]]]] = {}
-        self.pairs = []
+        self.pairs, self.keys = [], []
         for n, c in enumerate(self.codes):
             self.pairs.append(defaultdict(list))
             for i, h in enumerate(shingles(c, 2).tolist()):
                 self.pairs[n][h].append(i)
+            self.keys.append(np.fromiter(self.pairs[n], np.uint64, len(self.pairs[n])))
             own = np.array([h for h in set(shingles(c, 3).tolist()) if in_items[h] <= SHARED], np.uint64)
             if not len(own):  # too short, or all of it is shared: every shingle counts
                 own = np.unique(shingles(c, 3))
@@ -132,7 +152,7 @@ class Items:
     def share(self, n: int, doc_pairs: dict[int, list[int]]) -> float:
         """The share of item n's words that stand in order in the document's best one or two stretches.
 
-        doc_pairs: the positions of the document's two-word shingles. A stretch goes on over a few changed, missing or added
+        doc_pairs: the positions of the document's two-word shingles, at least of those that the item has. A stretch goes on over a few changed, missing or added
         words; these count as the item's if at least seven of ten words of the stretch stand there exactly.
         """
         seeds = sorted((j, i) for h, at in self.pairs[n].items() for j in doc_pairs.get(h, ()) for i in at)
@@ -171,8 +191,7 @@ class Items:
 def leaks(docs: DataFrame, items: list[tuple[int, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id): the documents in which at least half of an item's words stand, as stated above.
 
-    Null, empty and very long texts are fine (long ones go in overlapping pieces, whole); a document that is there twice
-    is reported once. Items without three words can't be found. Other columns are not read.
+    Null, empty and very long texts are fine (each is judged as a whole); a document that is there twice is reported once. Items without three words can't be found. Other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     spark = docs.sparkSession
@@ -186,13 +205,11 @@ def leaks(docs: DataFrame, items: list[tuple[int, str]], id_col: str = "doc_id",
                 ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
                 found, at = [], 0
                 while at < len(texts):
-                    held, chars = [], 0
-                    while at < len(texts) and (not held or chars < PIECE):
-                        text = texts[at] or ""
-                        for p in range(0, max(1, len(text)), PIECE):
-                            held.append((ids[at], words(text[max(0, p - OVERLAP) : p + PIECE])))
-                        chars, at = chars + len(text), at + 1
-                    found += search(own, held, known)
+                    held, size = [], 0
+                    while at < len(texts) and (not held or size < PIECE):
+                        held.append((ids[at], text_codes(texts[at], known)))
+                        size, at = size + len(texts[at] or ""), at + 1
+                    found += search(own, held)
                 found = sorted(set(found), key=str)
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], b.column(0).type), pa.array([i for _, i in found], pa.int64())], ["doc_id", "item_id"])
 
@@ -204,8 +221,9 @@ def leaks(docs: DataFrame, items: list[tuple[int, str]], id_col: str = "doc_id",
     return reduce(DataFrame.union, parts).distinct()
 
 
-def search(own: Items, held: list[tuple[int, list[str]]], known: _Codes) -> list[tuple[int, int]]:
-    held = [(d, c) for d, ws in held if len(c := codes(ws, known)) >= 3]
+def search(own: Items, held: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
+    """(document, item) of the leaks in documents (id, codes of all words)."""
+    held = [(d, c) for d, c in held if len(c) >= 3]
     if not held:
         return []
     three = [shingles(c, 3) for _, c in held]
@@ -215,8 +233,9 @@ def search(own: Items, held: list[tuple[int, list[str]]], known: _Codes) -> list
         by_doc[d].append(i)
     found = []
     for d, some in by_doc.items():
-        at = defaultdict(list)
-        for j, h in enumerate(shingles(held[d][1], 2).tolist()):
+        two, at = shingles(held[d][1], 2), defaultdict(list)
+        where = np.flatnonzero(np.isin(two, np.concatenate([own.keys[i] for i in some])))
+        for j, h in zip(where.tolist(), two[where].tolist()):
             at[h].append(j)
         found += [(held[d][0], own.ids[i]) for i in some if own.share(i, at) >= HALF]
     return found
