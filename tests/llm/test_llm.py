@@ -255,7 +255,7 @@ def test_nearest_recall(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 20)).astype(np.float32).astype(float)
     assert recall(spark, x, 5)[0] >= 0.95
-    assert recall(spark, x, 5, rerank=60)[0] >= 0.9
+    assert recall(spark, x, 5, share=0.5)[0] >= 0.95
 
 
 def test_nearest_in_chunks(spark, monkeypatch):
@@ -297,12 +297,26 @@ def test_nearest_with_scaled_copies(spark):
 
 def test_footrule():
     rng = np.random.default_rng(0)
-    near = np.array([rng.permutation(40)[:32] for _ in range(6)]).astype(np.int16)
-    got = neighbours.footrule(near, near)
-    for a, b in itertools.product(range(6), repeat=2):
-        level = lambda r: {p: i // neighbours.STEP for i, p in enumerate(near[r])}
-        x, y = level(a), level(b)
-        assert got[a, b] == sum(abs(x.get(p, 4) - y.get(p, 4)) for p in set(x) | set(y))
+    near = np.array([rng.permutation(40)[:32] for _ in range(6)] + [rng.permutation(40)[:32] + 100]).astype(np.int16)
+    got = neighbours.footrule(near, *neighbours.postings(near[1:]))
+    for a, b in itertools.product(range(7), range(1, 7)):
+        x, y = ({p: i for i, p in enumerate(near[r].tolist())} for r in (a, b))
+        assert got[a, b - 1] == sum(abs(x.get(p, 32) - y.get(p, 32)) for p in set(x) | set(y))
+
+
+def test_footrule_decides_before_any_cosine():
+    """Of 400 targets, the query's best one has a far order: it must not come out."""
+    rng = np.random.default_rng(1)
+    x, near = rng.normal(size=(400, 8)).astype(np.float32), np.array([rng.permutation(200)[:63] for _ in range(400)]).astype(np.int16)
+    x[7], near[7] = x[0], near[0] + 500
+    near[1:60] = near[0]
+    rows = neighbours.pd.DataFrame({"ix": range(400), "raw": [v.tobytes() for v in x], "near": [v.tobytes() for v in near]})
+    near[7] += 500
+    got = neighbours.pd.concat(neighbours.search_file(rows[:1], rows, 3, 0.2))
+    assert len(got) == 3 and 7 in set(got["nbr"])
+    rows.at[7, "near"] = near[7].tobytes()
+    got = neighbours.pd.concat(neighbours.search_file(rows[:1], rows, 3, 0.2))
+    assert len(got) == 3 and 7 not in set(got["nbr"]) and all(got["nbr"] < 400)
 
 
 # texts
