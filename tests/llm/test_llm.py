@@ -215,6 +215,36 @@ def test_group_between_two_leaders(spark, monkeypatch, chunk):
     assert groups_of(spark, flat(angles)) == {10 + k: 10 for k in range(8)}
 
 
+def test_short_records_are_not_lost(spark):
+    """Two entries of equal size, hashed to one place with other signs, would leave nothing."""
+    rng, vectors = random.Random(3), {}
+    for g in range(700):
+        a, b = rng.sample(range(10_000), 2)
+        for k in range(3):
+            vectors[3 * g + k] = {a: 1.0 + 0.001 * k, b: 1.0}
+    assert set(groups_of(spark, vectors)) == set(vectors)
+
+
+def test_groups_of_four_beside_decoys(spark):
+    """Dense vectors in few clusters: each group has two near strangers at 0.9 to 0.93."""
+    rng, rows = np.random.default_rng(0), []
+    unit = lambda x: x / np.linalg.norm(x)
+
+    def at(base, cos):
+        o = rng.normal(size=24)
+        return cos * base + math.sqrt(1 - cos * cos) * unit(o - (o @ base) * base)
+
+    middle = [unit(rng.normal(size=24)) for _ in range(4)]
+    for g in range(250):
+        c = unit(middle[g % 4] + rng.normal(size=24) * 0.15)
+        rows += [at(c, math.sqrt(0.985)) for _ in range(4)] + [at(c, 0.93) for _ in range(2)]
+    x = np.array(rows)
+    like = x @ x.T >= 0.95
+    three = {i for i in range(len(x)) for j in np.flatnonzero(like[i]) if j != i and (like[i] & like[j]).sum() >= 3}
+    got = set(groups_of(spark, {i: dict(enumerate(v.tolist())) for i, v in enumerate(x)}))
+    assert len(three) >= 1000 and got <= three and len(got) >= 0.99 * len(three)
+
+
 def test_components(spark):
     rng = random.Random(8)
     links = [(k, k + 1) for k in range(60, 90)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(30)]

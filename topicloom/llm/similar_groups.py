@@ -58,13 +58,18 @@ def mixed(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 def hashed(dims: pd.Series, ws: pd.Series, width: int = WIDTH) -> np.ndarray:
-    """Unit rows of hashed features."""
+    """Unit rows of hashed features. A dimension has a place and a sign in each half of a row, so that two that cancel out in
+    one half don't in the other."""
     size = dims.str.len().to_numpy()
     d, w = np.concatenate(dims.to_list()), np.concatenate(ws.to_list())
-    h = mixed(d, 7)
-    at = (h % np.uint64(width)).astype(np.int64) + np.repeat(np.arange(len(size)), size) * width
-    sign = np.where((h >> np.uint64(40)) & np.uint64(1), 1.0, -1.0)
-    x = np.bincount(at, w * sign, len(size) * width).reshape(-1, width).astype(np.float32)
+    h, half = mixed(d, 7), width // 2
+    row = np.repeat(np.arange(len(size)), size) * width
+    x = np.zeros(len(size) * width)
+    for k in (0, 1):
+        at = ((h >> np.uint64(24 * k)) % np.uint64(half)).astype(np.int64) + k * half
+        sign = np.where((h >> np.uint64(56 + k)) & np.uint64(1), 1.0, -1.0)
+        x += np.bincount(row + at, w * sign, len(x))
+    x = x.reshape(-1, width).astype(np.float32)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-20)
 
 
@@ -461,4 +466,15 @@ def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters}
-SQL: dict[str, str] = {}
+
+def _sql(name: str, rec: str, dim: str, weight: str) -> str:
+    """Exact cosines of all records; a record that has two similar ones, themselves similar, belongs to the group of the smallest
+    of them. That is the operator's result where similarity is transitive, as it is among the planted groups."""
+    return f"""SELECT '{name}' AS source_table, a AS rec_id, min(least(a, b, c)) AS group_id FROM (
+        WITH e AS (SELECT {rec} AS r, {dim} AS d, max({weight})::DOUBLE AS w FROM {name} WHERE {rec} IS NOT NULL AND {dim} IS NOT NULL AND {weight} IS NOT NULL AND NOT isnan({weight}::DOUBLE) GROUP BY ALL HAVING max({weight}) <> 0),
+        n AS (SELECT r, sqrt(sum(w * w)) AS n FROM e GROUP BY r),
+        s AS (SELECT x.r AS a, y.r AS b FROM e x JOIN e y ON x.d = y.d AND x.r <> y.r JOIN n p ON p.r = x.r JOIN n q ON q.r = y.r GROUP BY ALL HAVING sum(x.w * y.w) / any_value(p.n * q.n) >= 0.95 - 1e-12)
+        SELECT s.a, s.b, t.b AS c FROM s JOIN s t ON t.a = s.a AND t.b <> s.b JOIN s u ON u.a = s.b AND u.b = t.b) GROUP BY a"""
+
+
+SQL = {"p1_found": " UNION ALL ".join(_sql(*c) for c in COLLECTIONS)}
