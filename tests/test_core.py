@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from topicloom.functions.text import clean_letters, clean_plain, stem, tokenized
-from topicloom.operators import affinity as aff, cluster, dictionary as dic, graph, knn, lda, metrics, prior, spectral, tfidf, vectors as vec
-from topicloom.plans import pipeline
+from topicloom.functions.text import clean_letters, clean_plain, lemmatised, stem, tokenized
+from topicloom.operators import affinity as aff, cluster, dictionary as dic, graph, knn, lda, metrics, network, prior, spectral, tfidf, vectors as vec
+from topicloom.plans import materialize, pipeline
 from topicloom.plans.ids import numbered
 from topicloom.sources import corpus as src
 
@@ -150,8 +150,10 @@ def test_block_iteration_agrees_with_the_driver(spark, monkeypatch):
     exact, values = spectral.spectral_embedding(w, 2)
     monkeypatch.setattr(spectral, "EXACT", 10)
     block, approx = spectral.spectral_embedding(w, 2)
-    assert np.abs(values - approx).max() < 1e-3
-    assert metrics.grassmann(block, exact, 2) < 1e-2
+    assert np.abs(values - approx).max() < 1e-8
+    assert metrics.grassmann(block, exact, 2) < 1e-8
+    with pytest.raises(RuntimeError):
+        spectral.eigenvectors(w, 3, tol=0.0, most=1)
 
 
 def blobs(spark, dim=3, n=40, spread=0.3):
@@ -201,11 +203,110 @@ def test_scalable_embedding(spark):
 
 def test_autoencoder_learns(spark):
     v, _ = blobs(spark)
-    model = spectral.Autoencoder(2, hidden=16, steps=200).fit(v)
-    assert np.mean(model.losses[-20:]) < 0.5 * np.mean(model.losses[:5])
+    model = network.Autoencoder((16, 2), epochs=60, lr=1e-2, batch_size=32).fit(v)
+    assert np.mean([b for _, b in model.losses[-5:]]) < 0.2 * model.losses[0][1]
     assert all(len(r["vec"]) == 2 for r in model.embed(v).collect())
 
 
+def test_network_gradients():
+    """The gradient of the Rayleigh quotient through the layers against finite differences."""
+    rng = np.random.default_rng(0)
+    x, net = rng.normal(size=(30, 4)), network.SpectralNetwork([4, 6, 3], seed=1)
+    net.layers.weights, net.layers.biases = ([w.astype(np.float64) for w in ws] for ws in (net.layers.weights, net.layers.biases))
+    net.orthonormalise(x)
+    y = net(x)
+    assert np.allclose(y.T @ y / 30, np.eye(3), atol=1e-4)
+    lap = network.batch_laplacian(network.batch_affinity(x, 5), "rw")
+    out = net.layers.forward(x)
+    grads = net.layers.backward(out, ((lap + lap.T) @ y / len(y)) @ net.ortho.T)
+    for k, parameters in enumerate(net.layers.weights + net.layers.biases):
+        at = np.unravel_index(1, parameters.shape)
+        parameters[at] += 1e-3
+        up = network.spectral_loss(lap, net(x))
+        parameters[at] -= 2e-3
+        down = network.spectral_loss(lap, net(x))
+        parameters[at] += 1e-3
+        assert abs((up - down) / 2e-3 - grads[k][at]) < 2e-3 * max(1, abs(grads[k][at]))
+
+
+def test_batch_affinity_is_that_of_the_tables(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(25, 3))
+    v = frame(spark, list(enumerate(x.tolist())), "id long, vec array<double>")
+    for metric, local in (("cosine", True), ("euclidean", True), ("cosine", False)):
+        w = aff.affinity(v, 4, 2, local, metric=metric)
+        assert np.abs(dense(w, 25) - network.batch_affinity(x, 4, 2, local, metric)).max() < 1e-9
+
+
+def test_trained_embeddings_separate_groups(spark):
+    v, truth = blobs(spark)
+    model = network.ScaSE(2, spectral_hiddens=(32, 32), spectral_max_epochs=60, spectral_lr=1e-2, spectral_batch_size=120, spectral_n_nbg=20)
+    y = np.array([r["vec"] for r in model.fit_transform(v).orderBy("id").collect()])
+    assert y.shape == (120, 2) and len(model.get_eigenvalues()) == 2 and (np.diff(model.values) >= 0).all()
+    losses = [a for a, _ in model.net.trainer.losses]
+    assert min(losses[-5:]) < 0.5 * losses[0]
+    means = np.array([y[truth == k].mean(0) for k in range(3)])
+    inside = np.mean([np.linalg.norm(y[truth == k] - means[k], axis=1).mean() for k in range(3)])
+    assert inside < 0.5 * min(np.linalg.norm(means[a] - means[b]) for a, b in ((0, 1), (0, 2), (1, 2)))
+    net = network.SpectralNet(3, spectral_hiddens=(32, 3), spectral_epochs=40, spectral_lr=1e-2, spectral_n_nbg=20, is_sparse_graph=True).fit(v)
+    p = np.array([r["p"] for r in net.predict(v).orderBy("id").collect()])
+    assert np.allclose(p.sum(1), 1)
+    net.validate_hiddens()
+    raw, encoded = net.random_batch(v, 10)
+    assert raw.count() == encoded.count() == 10
+    for wrong in (lambda: network.ScaSE(0), lambda: network.SpectralNet(0), lambda: network.SpectralNet(4, spectral_hiddens=(8, 3)).validate_hiddens(), lambda: net.fit(v.limit(0))):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_shared_folder(spark):
+    df = materialize.written(spark.range(5))
+    assert df.count() == 5
+    materialize.discarded(df)
+    with pytest.raises(Exception):
+        spark.read.parquet(df.inputFiles()[0]).count()
+    materialize.discarded(materialize.written(spark.range(0)))
+
+
+def test_lemmas(spark):
+    rows = frame(spark, [(1, ["mice", "run", "mice"]), (2, []), (3, None)], "doc_id long, tokens array<string>")
+    table = frame(spark, [("mice", "mouse"), ("mice", "zzz"), ("run", None), (None, "x")], "form string, lemma string")
+    assert {r["doc_id"]: r["tokens"] for r in lemmatised(rows, table).collect()} == {1: ["mouse", "run", "mouse"], 2: [], 3: []}
+
+
+def test_sparse_neighbours_and_term_affinity(spark):
+    rng = np.random.default_rng(3)
+    m = np.where(rng.random((40, 30)) < 0.2, rng.random((40, 30)), 0)
+    rows = frame(spark, [(i, np.flatnonzero(r).tolist(), r[r > 0].tolist()) for i, r in enumerate(m)], "id long, dims array<long>, ws array<double>")
+    whole = knn.nearest(frame(spark, list(enumerate(m.tolist())), "id long, vec array<double>"), 5, "euclidean", include_self=False)
+    want = {(r["i"], r["rank"]): round(r["dist"], 6) for r in whole.collect()}
+    for block, cut in ((4096, 1024), (11, 7)):
+        assert {(r["i"], r["rank"]): round(r["dist"], 6) for r in knn.nearest_sparse(rows, 5, block, cut).collect()} == want
+    docs = frame(spark, [(1, ["a", "b"]), (2, ["a", "b", "c"]), (3, ["d", "e"])], "doc_id long, tokens array<string>")
+    words = frame(spark, [(w, i) for i, w in enumerate("abcde")], "word string, id int")
+    w = {(r["i"], r["j"]): r["w"] for r in pipeline.run_term_affinity(tfidf.tfidf(docs, 3), words, 2).collect()}
+    assert w[0, 1] == w[1, 0] == 1.0 and w[3, 4] == 1.0 and all(0 < x <= 1 for x in w.values())
+
+
+def test_large_dictionaries_are_joined_without_hot_keys(spark, tiny, monkeypatch):
+    words = dic.dictionary(tiny)
+    want = sorted(map(tuple, dic.doc2bow(tiny, words).collect()))
+    scores = sorted((r["doc_id"], r["word"], round(r["tfidf"], 9)) for r in tfidf.tfidf(tiny, 5).collect())
+    monkeypatch.setattr(dic, "BROADCAST", 1)
+    monkeypatch.setattr(dic, "HEAVY", 2)
+    assert sorted(map(tuple, dic.doc2bow(tiny, words).collect())) == want
+    assert sorted((r["doc_id"], r["word"], round(r["tfidf"], 9)) for r in tfidf.tfidf(tiny, 5).collect()) == scores
+
+
+def test_topic_model_from_saved_predictions(spark):
+    docs = frame(spark, [(d, ["ab", "ac", "ad"] if d % 2 else ["xa", "xb", "xc"]) for d in range(40)], "doc_id long, tokens array<string>")
+    names = frame(spark, list(enumerate(["ab", "ac", "ad", "xa", "xb", "xc"])), "ix int, word string")
+    p = frame(spark, [(i, int(i > 2), 1.0) for i in range(6)], "ix int, topic int, p double")
+    model = pipeline.run_topic_model(docs, names, p, 2, passes=4)
+    share = model.lam / model.lam.sum(1, keepdims=True)
+    assert share.max(0).min() > 0.25 and len(share) == 2
+
+
 def test_prior(spark):
     p = frame(spark, [(1, 0, 1.0), (1, 0, 1.0), (2, 0, 0.5), (2, 1, 0.5), (3, 2, None)], "ix int, topic int, p double")
     rows = prior.soft_prior(p, 3)
@@ -306,12 +407,13 @@ def test_stream_counts_equal_batch_counts(spark, data, tmp_path):
 
 def test_pipelines(spark, data):
     v, _ = blobs(spark)
-    for mode in ("gmm", "rw", "sn"):
-        rows = pipeline.run_prior(v, pipeline.Settings(mode=mode, topics=3, components=2, n_nbg=60))
+    for mode in ("gmm", "rw", "sn", "landmarks"):
+        rows = pipeline.run_prior(v, pipeline.Settings(mode=mode, topics=3, components=2, n_nbg=60, hiddens=(16,)))
         sums = rows.groupBy("ix").agg(F.sum("prior").alias("s"), F.min("prior").alias("m")).collect()
         assert len(sums) == 120 and all(abs(r["s"] - 1) < 1e-9 and r["m"] > 0 for r in sums)
     with pytest.raises(ValueError):
         pipeline.Settings(mode="other")
+    assert pipeline.run_prior(v.limit(0), pipeline.Settings()).count() == 0
     docs = spark.read.parquet(f"{data}/documents.parquet")
     assert pipeline.run_tfidf(docs).count() > 0
     wv = frame(spark, [(i, w, [float(i)]) for i, w in enumerate(["zzz", "careful", "window", "nothere"])], "ix int, word string, vec array<float>")

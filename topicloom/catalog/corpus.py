@@ -139,7 +139,7 @@ def cooccurrence_star(spark, d):
 
 
 def cooccurrence_all_pairs(spark, d):
-    return _graph(spark, d, "all_pairs", 500).select("u", "v", six("weight").alias("weight"))
+    return _graph(spark, d, "all_pairs", 100_000).select("u", "v", six("weight").alias("weight"))
 
 
 def adjacency(spark, d):
@@ -177,7 +177,7 @@ _PLAIN = f"""list_filter(regexp_split_to_array(regexp_replace(array_to_string(li
     lambda w: w <> '' AND w NOT IN ({_list(ENGLISH)})), ' '), '[!-/:-@\\[-`{{-~]', '', 'g'), '{_WHITE}'), lambda w: w <> '')"""
 _BASE = """occ AS (SELECT doc_id, unnest(tokens) AS token FROM tok), dt AS (SELECT doc_id, token, count(*) AS tf FROM occ GROUP BY ALL), n AS (SELECT count(*) AS n FROM tok),
     d0 AS (SELECT token, min(doc_id) AS f, count(*) AS df, sum(tf)::BIGINT AS cf FROM dt GROUP BY token),
-    dict AS (SELECT token, (row_number() OVER (ORDER BY f, token) - 1)::INT AS token_id, df, cf FROM d0)"""
+    dict AS (SELECT token, row_number() OVER (ORDER BY f, token) - 1 AS token_id, df, cf FROM d0)"""
 _DOC = f"WITH tok AS (SELECT doc_id, {_LETTERS} AS tokens FROM documents), {_BASE}"
 _CC = f"""WITH tok AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(max(text), '')), '{_WHITE}'), lambda w: w <> '') AS tokens FROM clean_corpus WHERE doc_id IS NOT NULL GROUP BY doc_id),
     {_BASE}, voc AS (SELECT DISTINCT lower(trim(word)) AS word FROM clean_vocab WHERE lower(trim(word)) <> '')"""
@@ -189,7 +189,7 @@ _EDGES = """, bow AS (SELECT doc_id, token_id FROM dt JOIN ext USING (token)), e
     w AS (SELECT e.u, e.v, c * least(ln((1.0 + n.n) / (1.0 + a.df)) + 1, ln((1.0 + n.n) / (1.0 + b.df)) + 1) / greatest(ln((1.0 + n.n) / (1.0 + a.df)) + 1, ln((1.0 + n.n) / (1.0 + b.df)) + 1) AS weight
     FROM e JOIN ext a ON a.token_id = e.u JOIN ext b ON b.token_id = e.v, n)"""
 _STAR = _COMPAT.format(100000) + _EDGES.format(pairs="SELECT u, token_id AS v, count(*) AS c FROM bow JOIN (SELECT doc_id, min(token_id) AS u FROM bow GROUP BY 1) USING (doc_id) WHERE token_id <> u GROUP BY ALL")
-_ALL = _COMPAT.format(500) + _EDGES.format(pairs="SELECT x.token_id AS u, y.token_id AS v, count(*) AS c FROM bow x JOIN bow y ON x.doc_id = y.doc_id AND x.token_id < y.token_id GROUP BY ALL")
+_ALL = _COMPAT.format(100000) + _EDGES.format(pairs="SELECT x.token_id AS u, y.token_id AS v, count(*) AS c FROM bow x JOIN bow y ON x.doc_id = y.doc_id AND x.token_id < y.token_id GROUP BY ALL")
 _TEXT = """ SELECT t.doc_id, coalesce(w.text, '') AS text FROM tok t LEFT JOIN (SELECT doc_id, string_agg(token, ' ' ORDER BY token_id) AS text FROM dt JOIN {words} USING (token) GROUP BY doc_id) w USING (doc_id)"""
 _IN_VOC = ", ft AS (SELECT * FROM dict WHERE token IN (SELECT word FROM voc))"
 
@@ -201,12 +201,12 @@ SQL = {
     "filter_extremes": f"{_DOC}{_EXT} SELECT * FROM ext",
     "filter_extremes_compat": f"{_DOC}{_COMPAT.format(100000)} SELECT * FROM ext",
     "filter_tokens": f"{_CC}{_IN_VOC} SELECT * FROM ft",
-    "compactify": f"{_DOC}{_EXT} SELECT token, (row_number() OVER (ORDER BY token_id) - 1)::INT AS token_id, df, cf FROM ext",
+    "compactify": f"{_DOC}{_EXT} SELECT token, row_number() OVER (ORDER BY token_id) - 1 AS token_id, df, cf FROM ext",
     "doc2bow": f"{_DOC} SELECT doc_id, token_id, tf FROM dt JOIN dict USING (token)",
     "filtered_corpus": f"{_CC}{_IN_VOC}, ext AS (SELECT ft.* FROM ft, n WHERE df >= 0.002 * n.n AND df <= floor(0.3 * n.n) ORDER BY df DESC, token_id LIMIT 5000){_TEXT.format(words='ext')}",
     "filtered_corpus_all": f"{_DOC}, ext AS (SELECT dict.* FROM dict, n WHERE df >= 0.001 * n.n ORDER BY df DESC, token_id LIMIT 100000){_TEXT.format(words='ext')}",
     "sorted_corpus": f"{_DOC} SELECT doc_id, array_to_string(list_sort(list_distinct(tokens)), ' ') AS text FROM tok",
-    "lda_input": f"""{_CC}, ext AS (SELECT dict.* FROM dict, n WHERE df >= 0.0001 * n.n ORDER BY df DESC, token_id LIMIT 100000), g AS (SELECT token, (row_number() OVER (ORDER BY token_id) - 1)::INT AS token_id
+    "lda_input": f"""{_CC}, ext AS (SELECT dict.* FROM dict, n WHERE df >= 0.0001 * n.n ORDER BY df DESC, token_id LIMIT 100000), g AS (SELECT token, row_number() OVER (ORDER BY token_id) - 1 AS token_id
         FROM ext WHERE token IN (SELECT word FROM voc)) SELECT doc_id, token_id, tf FROM dt JOIN g USING (token)""",
     "vocabulary": f"{_DOC} SELECT token FROM dict",
     "filtered_vocabulary": f"{_DOC}{_EXT} SELECT token FROM ext",

@@ -195,7 +195,7 @@ SQL = {
     "zscore": f"""WITH v AS (SELECT ix AS id, vec::DOUBLE[] AS vec FROM word_vectors WHERE len(vec) = 50 AND {_OK}), u AS (SELECT id, unnest(range(len(vec)))::INT AS dim, unnest(vec) AS x FROM v)
         SELECT id, dim, round(CASE WHEN stddev_samp(x) OVER w > 0 THEN (x - avg(x) OVER w) / stddev_samp(x) OVER w ELSE x END, 6) + 0.0 AS x FROM u WINDOW w AS (PARTITION BY dim)""",
     "embedding_align": f"""WITH {_WORDS}, v AS (SELECT word, max(ix) AS old, arg_max_null(vec, ix) AS vec FROM word_vectors WHERE word IS NOT NULL GROUP BY word)
-        SELECT (row_number() OVER (ORDER BY old) - 1)::INT AS ix, word, len(vec)::INT AS width, round(vec[1]::DOUBLE, 6) + 0.0 AS first FROM v WHERE old <> 0 AND word IN (SELECT word FROM voc)""",
+        SELECT row_number() OVER (ORDER BY old) - 1 AS ix, word, len(vec)::INT AS width, round(vec[1]::DOUBLE, 6) + 0.0 AS first FROM v WHERE old <> 0 AND word IN (SELECT word FROM voc)""",
     "word2vec_lookup": f"""WITH {_WORDS}, v AS (SELECT word, arg_max(vec, ix) AS vec FROM word_vectors WHERE word IS NOT NULL AND vec IS NOT NULL GROUP BY word)
         SELECT voc.word, round(CASE WHEN v.vec IS NULL THEN 0.5 ELSE v.vec[1]::DOUBLE END, 6) + 0.0 AS first FROM voc LEFT JOIN v ON v.word = voc.word""",
     "cosine_matrix": f"{_COS} SELECT i, j, round(1 - dist, 6) + 0.0 AS score FROM p",
@@ -218,7 +218,7 @@ SQL = {
     "laplacian_unnorm": f"{_UNNORM} SELECT i, j, round(l, 6) + 0.0 AS l FROM lap",
     "laplacian_rw": f"{_RW} SELECT i, j, round(l, 6) + 0.0 AS l FROM lap",
     "laplacian_sym": f"{_SYM} SELECT i, j, round(l, 6) + 0.0 AS l FROM lap",
-    "laplacian_sorted": f"{_UNNORM}, o AS (SELECT vec_id AS id, (row_number() OVER (ORDER BY label, vec_id) - 1)::INT AS place FROM embeddings) SELECT a.place AS i, b.place AS j, round(l, 6) + 0.0 AS l FROM lap JOIN o a ON a.id = lap.i JOIN o b ON b.id = lap.j",
+    "laplacian_sorted": f"{_UNNORM}, o AS (SELECT vec_id AS id, row_number() OVER (ORDER BY label, vec_id) - 1 AS place FROM embeddings) SELECT a.place AS i, b.place AS j, round(l, 6) + 0.0 AS l FROM lap JOIN o a ON a.id = lap.i JOIN o b ON b.id = lap.j",
     "rayleigh_loss": f"{_UNNORM} SELECT round(sum(l * list_inner_product(a.vec[1:4], b.vec[1:4])) / (SELECT count(*) FROM e), 6) + 0.0 AS loss FROM lap JOIN e a ON a.id = lap.i JOIN e b ON b.id = lap.j",
     "soft_prior": f"{_PRIOR} SELECT ix, topic, round(prior, 6) AS prior FROM pr",
     "prior_transpose": f"{_PRIOR} SELECT topic, ix, round(prior, 6) AS eta FROM pr",

@@ -44,6 +44,17 @@ def clean_plain(text: str | Column, stopwords: Sequence[str] = ENGLISH, lemmas:
     return plain if lemmas is None else F.transform(plain, lambda w: F.coalesce(F.try_element_at(lemmas, w), w))
 
 
+def lemmatised(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """(doc_id, tokens) with every token replaced by its lemma from (form, lemma), where it has one; order and repeats stay.
+
+    Of a form with several lemmas the first in the alphabet holds.
+    """
+    table = lemmas.where(F.col("form").isNotNull() & F.col("lemma").isNotNull()).groupBy(F.col("form").alias("token")).agg(F.min("lemma").alias("lemma"))
+    rows = tokens.select("doc_id", F.posexplode("tokens").alias("at", "token")).join(table, "token", "left")
+    lists = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("lemma", "token").alias("token")))).alias("t"))
+    return tokens.select("doc_id").join(lists, "doc_id", "left").select("doc_id", F.coalesce(F.col("t.token"), F.array().cast("array<string>")).alias("tokens"))
+
+
 def pieces(text: str | Column) -> Column:
     """Pieces between white space, one-letter ones too."""
     text = F.col(text) if isinstance(text, str) else text

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.materialize import kept
 from .knn import nearest
 from .vectors import cosine, dot, euclidean
 
@@ -49,13 +50,14 @@ def pair_distances(near: DataFrame, vectors: DataFrame, metric: str) -> DataFram
     return near.join(a, "i").join(b, "j").withColumn("d", d).drop("_a", "_b")
 
 
-def affinity(vectors: DataFrame, n_nbg: int = 10, scale_k: int = 2, is_local: bool = True, kind: str = "laplace", metric: str = "euclidean") -> DataFrame:
+def affinity(vectors: DataFrame, n_nbg: int = 10, scale_k: int = 2, is_local: bool = True, kind: str = "laplace", metric: str = "euclidean", near: DataFrame | None = None) -> DataFrame:
     """(i, j, w): kernel weights between each vector and its `n_nbg` cosine neighbours, the nearest (itself) left out, symmetrised.
 
     The scale comes from the neighbours' cosine distances, the kernel's distance is `metric`; by default they differ, as in
-    the settings that this reproduces.
+    the settings that this reproduces. `near` gives the neighbours (i, j, rank, dist), themselves included, where an index has
+    found them; by default they are exact, in quadratic work.
     """
-    near = shifted(nearest(vectors, n_nbg + 1, "cosine"))
+    near = shifted(kept(nearest(vectors, n_nbg + 1, "cosine") if near is None else near))
     pairs = pair_distances(near.where(F.col("rank") > 1), vectors, metric)
     scaled = pairs.join(local_scale(near), "i") if is_local else pairs.crossJoin(F.broadcast(global_scale(near, scale_k)))  # one row
     return symmetrised(scaled.select("i", "j", kernel(kind, F.col("d"), F.col("scale")).alias("w")))
@@ -63,7 +65,11 @@ def affinity(vectors: DataFrame, n_nbg: int = 10, scale_k: int = 2, is_local: bo
 
 def union_affinity(vectors: DataFrame, n_neighbors: int = 10) -> DataFrame:
     """(i, j, w): exp(-d^2) to the n - 1 nearest others in Euclidean distance, the same both ways, not averaged."""
-    near = nearest(vectors, n_neighbors - 1, "euclidean", include_self=False)
+    return united(nearest(vectors, n_neighbors - 1, "euclidean", include_self=False))
+
+
+def united(near: DataFrame) -> DataFrame:
+    """(i, j, w): exp(-d^2) of neighbour rows, the same both ways."""
     one = near.select("i", "j", F.exp(-F.col("dist") * F.col("dist")).alias("w"))
     return one.union(one.select("j", "i", "w")).groupBy("i", "j").agg(F.max("w").alias("w"))
 

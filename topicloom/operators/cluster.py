@@ -36,7 +36,7 @@ def spark_mixture(vectors: DataFrame, k: int, seed: int = 42, max_iter: int = 20
 class Mixture:
     """A full-covariance Gaussian mixture: log-sum-exp responsibilities, covariance floor, k-means start.
 
-    A pass adds up each partition's statistics (k small matrices) and the driver turns their sum into parameters.
+    A pass adds up statistics by partition and then by component, and the driver turns the k sums into parameters.
     """
 
     def __init__(self, k: int, max_iter: int = 30, tol: float = 1e-3, reg_covar: float = 1e-6, seed: int = 0, sample: int = 20_000) -> None:
@@ -93,16 +93,25 @@ class Mixture:
         shared, k = rows.sparkSession.sparkContext.broadcast((self.weights, self.means, self.covs)), self.k
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(k + k * d + k * d * d + 1)
+            total, bound = np.zeros((k, 1 + d + d * d)), 0.0
             for b in batches:
                 for at in range(0, len(b), 4096):
                     x = np.stack(b["vec"].iloc[at : at + 4096].to_numpy())
                     r, ll = Mixture._responsibilities(Mixture._log_density(x, *shared.value))
-                    total += np.concatenate([r.sum(0), (r.T @ x).ravel(), np.einsum("nk,ni,nj->kij", r, x, x, optimize=True).ravel(), [ll.sum()]])
-            yield pd.DataFrame({"t": [total.tobytes()]})
-
-        t = sum(np.frombuffer(r["t"]) for r in rows.mapInPandas(run, "t binary").toLocalIterator())
-        return t[:k], t[k : k + k * d].reshape(k, d), t[k + k * d : -1].reshape(k, d, d), float(t[-1])
+                    total[:, 0] += r.sum(0)
+                    total[:, 1 : d + 1] += r.T @ x
+                    for c in range(k):
+                        total[c, d + 1 :] += ((x * r[:, c : c + 1]).T @ x).ravel()
+                    bound += ll.sum()
+            yield pd.DataFrame({"c": np.arange(k, dtype=np.int32), "t": [t.tobytes() for t in total], "ll": np.r_[bound, np.zeros(k - 1)]})
+
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"c": pdf["c"][:1], "t": [sum(np.frombuffer(t) for t in pdf["t"]).tobytes()], "ll": [pdf["ll"].sum()]})
+
+        kind, t, ll = "c int, t binary, ll double", np.zeros((k, 1 + d + d * d)), 0.0
+        for r in rows.mapInPandas(run, kind).groupBy("c").applyInPandas(add, kind).toLocalIterator():
+            t[r["c"]], ll = np.frombuffer(r["t"]), ll + r["ll"]
+        return t[:, 0], t[:, 1 : d + 1], t[:, d + 1 :].reshape(k, d, d), ll
 
     def predict_proba(self, vectors: DataFrame) -> DataFrame:
         """(id, p): responsibilities, each row's sum is 1."""

@@ -2,6 +2,9 @@
 
 A tokenised corpus is (doc_id, tokens); a dictionary is (token, token_id, df, cf). All of it is group-bys and joins on the
 token with partial aggregation; nothing is collected. A null token never enters a dictionary.
+
+Joins on the token would send every row of a common word to one task. So a dictionary of at most BROADCAST entries, which is
+counted, is broadcast; of a larger one the HEAVY words of most documents are, and only rows of other words are shuffled.
 """
 
 from __future__ import annotations
@@ -9,6 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.ids import numbered
+from ..plans.materialize import kept
+
+#: Entries up to which a whole dictionary is broadcast, and the words of most documents that are broadcast beyond.
+BROADCAST, HEAVY = 200_000, 1024
 
 
 def token_rows(corpus: DataFrame) -> DataFrame:
@@ -21,6 +28,17 @@ def doc_tokens(corpus: DataFrame) -> DataFrame:
     return token_rows(corpus).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def looked_up(rows: DataFrame, dic: DataFrame, *columns: str) -> DataFrame:
+    """`rows` with a token of the dictionary (token, df, ...), each with that entry's `columns`."""
+    dic = kept(dic.select("token", "df", *(c for c in columns if c != "df")))
+    if dic.count() <= BROADCAST:
+        return rows.join(F.broadcast(dic.select("token", *columns)), "token")
+    heavy = kept(dic.orderBy(F.desc("df"), "token").limit(HEAVY)).select("token", *columns)
+    light = dic.select("token", *columns).join(F.broadcast(heavy.select("token")), "token", "left_anti")
+    rest = rows.join(F.broadcast(heavy.select("token")), "token", "left_anti")
+    return rows.join(F.broadcast(heavy), "token").unionByName(rest.join(light, "token"))
+
+
 def dictionary(corpus: DataFrame) -> DataFrame:
     """(token, token_id, df, cf); ids by the first document that has the token, then by the token."""
     stats = doc_tokens(corpus).groupBy("token").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
@@ -49,12 +67,12 @@ def compactify(dic: DataFrame) -> DataFrame:
 
 def doc2bow(corpus: DataFrame, dic: DataFrame) -> DataFrame:
     """(doc_id, token_id, tf); tokens outside the dictionary are dropped."""
-    return doc_tokens(corpus).join(dic.select("token", "token_id"), "token").select("doc_id", "token_id", "tf")
+    return looked_up(doc_tokens(corpus), dic, "token_id").select("doc_id", "token_id", "tf")
 
 
 def corpus_text(corpus: DataFrame, dic: DataFrame) -> DataFrame:
     """(doc_id, text): each document's distinct dictionary words in order of id, joined by spaces; empty documents stay."""
-    words = doc_tokens(corpus).join(dic.select("token", "token_id"), "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("token_id", "token"))).alias("w"))
+    words = looked_up(doc_tokens(corpus), dic, "token_id").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("token_id", "token"))).alias("w"))
     return corpus.select("doc_id").join(words, "doc_id", "left").select("doc_id", F.coalesce(F.array_join(F.col("w.token"), " "), F.lit("")).alias("text"))
 
 

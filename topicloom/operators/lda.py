@@ -20,11 +20,12 @@ def doc_rows(bow: DataFrame) -> DataFrame:
 def symmetric(bow: DataFrame, n_words: int, topics: int = 104, passes: int = 10, seed: int = 0) -> DataFrame:
     """(topic, token_id, weight): topic-word weights of the built-in online model, each topic's sum is 1."""
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.ml.feature import CountVectorizerModel
 
-    to_vector = F.udf(lambda i, c: Vectors.sparse(n_words, i, c), VectorUDT())
-    rows = kept(doc_rows(bow).select("doc_id", to_vector("ids", "counts").alias("features")))
+    one = F.array_repeat(F.col("token_id").cast("string"), F.col("tf").cast("int"))
+    words = bow.groupBy("doc_id").agg(F.flatten(F.collect_list(one)).alias("words"))
+    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(n_words)], inputCol="words", outputCol="features")
+    rows = kept(counter.transform(words).select("doc_id", "features"))
     model = LDA(k=topics, maxIter=passes, seed=seed, optimizer="online", subsamplingRate=1.0).fit(rows)
     indices, weights = F.col("termIndices"), F.col("termWeights")
     top = model.describeTopics(n_words).select("topic", F.explode(F.arrays_zip(indices.alias("i"), weights.alias("w"))).alias("e"))
@@ -59,10 +60,10 @@ class MatrixPriorLDA:
     """Batch variational Bayes whose topic-word prior is a matrix (topics, words).
 
     A pass broadcasts the expected word probabilities (topics x words, refused beyond MOST cells), runs the document step in
-    blocks and adds up the sufficient statistics.
+    blocks and adds up the sufficient statistics, by task and then by range of SPAN words; the driver gets their sum once.
     """
 
-    MOST = 50_000_000
+    MOST, SPAN = 50_000_000, 4096
 
     def __init__(self, eta: np.ndarray, alpha: float | None = None, passes: int = 10, inner: int = 30, seed: int = 0) -> None:
         if eta.size > self.MOST:
@@ -70,7 +71,7 @@ class MatrixPriorLDA:
         self.eta, self.alpha, self.passes, self.inner, self.seed = np.maximum(eta, 1e-12), alpha or 1.0 / len(eta), passes, inner, seed
 
     def fit(self, bow: DataFrame) -> "MatrixPriorLDA":
-        rows, (k, v), alpha, inner = kept(doc_rows(bow)), self.eta.shape, self.alpha, self.inner
+        rows, (k, v), alpha, inner, span = kept(doc_rows(bow)), self.eta.shape, self.alpha, self.inner, self.SPAN
         self.lam, self.bounds = self.eta + np.random.default_rng(self.seed).gamma(100.0, 0.01, (k, v)), []
         for _ in range(self.passes):
             log_beta = _expected_log(self.lam)
@@ -95,11 +96,16 @@ class MatrixPriorLDA:
                         norm = (theta[doc] * own).sum(1) + 1e-100
                         np.add.at(stats.T, ids, theta[doc] * own * (counts / norm)[:, None])
                         bound += float((counts * np.log(norm)).sum() + ((alpha - gamma) * log_theta).sum() + (log_gamma(gamma) - log_gamma(np.array(alpha))).sum() + (log_gamma(np.array(alpha * k)) - log_gamma(gamma.sum(1))).sum())
-                yield pd.DataFrame({"stats": [stats.tobytes()], "bound": [bound]})
+                parts = [stats[:, at : at + span] for at in range(0, v, span)]
+                there = [n for n, p in enumerate(parts) if n == 0 or p.any()]
+                yield pd.DataFrame({"n": np.array(there, np.int32), "stats": [parts[n].tobytes() for n in there], "bound": [bound * (n == 0) for n in there]})
 
-            stats, bound = np.zeros((k, v)), 0.0
-            for r in rows.mapInPandas(run, "stats binary, bound double").toLocalIterator():
-                stats += np.frombuffer(r["stats"]).reshape(k, v)
+            def add(pdf: pd.DataFrame) -> pd.DataFrame:
+                return pd.DataFrame({"n": pdf["n"][:1], "stats": [sum(np.frombuffer(s) for s in pdf["stats"]).tobytes()], "bound": [pdf["bound"].sum()]})
+
+            kind, stats, bound = "n int, stats binary, bound double", np.zeros((k, v)), 0.0
+            for r in rows.mapInPandas(run, kind).groupBy("n").applyInPandas(add, kind).toLocalIterator():
+                stats[:, r["n"] * span : (r["n"] + 1) * span] = np.frombuffer(r["stats"]).reshape(k, -1)
                 bound += r["bound"]
             topics = ((self.eta - self.lam) * log_beta + log_gamma(self.lam) - log_gamma(self.eta)).sum() + (log_gamma(self.eta.sum(1)) - log_gamma(self.lam.sum(1))).sum()
             self.bounds.append(bound + float(topics))
@@ -109,20 +115,23 @@ class MatrixPriorLDA:
     def topics(self, bow: DataFrame) -> DataFrame:
         """(topic, token_id, weight), each topic's sum is 1."""
         p = self.lam / self.lam.sum(1, keepdims=True)
-        rows = bow.sparkSession.createDataFrame([(t, bytearray(row.tobytes())) for t, row in enumerate(p)], "topic int, w binary")
+        shared = bow.sparkSession.sparkContext.broadcast(p)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                for t, w in zip(b["topic"], b["w"]):
-                    w = np.frombuffer(w)
+                for t in b["id"]:
+                    w = shared.value[t]
                     yield pd.DataFrame({"topic": np.full(len(w), t, np.int32), "token_id": np.arange(len(w), dtype=np.int32), "weight": w})
 
-        return rows.mapInPandas(run, "topic int, token_id int, weight double")
+        return bow.sparkSession.range(len(p)).mapInPandas(run, "topic int, token_id int, weight double")
 
 
 def eta_matrix(eta: DataFrame, topics: int, n_words: int, floor: float = 0.0) -> np.ndarray:
     """The long table (topic, token_id, eta) as a matrix; its size is that of the model's own parameters."""
+    if topics * n_words > MatrixPriorLDA.MOST:
+        raise ValueError("topics times words exceed what is broadcast; filter the dictionary further")
     out = np.full((topics, n_words), floor)
-    for r in eta.where((F.col("eta") > 0) & (F.col("topic") < topics) & (F.col("token_id") < n_words)).toLocalIterator():
-        out[r["topic"], r["token_id"]] = max(r["eta"], floor)
+    cells = eta.where((F.col("eta") > 0) & (F.col("topic") < topics) & (F.col("token_id") < n_words)).select("topic", "token_id", "eta").toArrow()
+    topic, word, value = (cells.column(k).to_numpy() for k in range(3))
+    out[topic, word] = np.maximum(value, floor)
     return out

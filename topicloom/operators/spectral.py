@@ -1,8 +1,9 @@
 """Spectral embeddings of sparse symmetric affinities (i, j, w).
 
-The random-walk Laplacian is not symmetric, so its eigenvectors come from those of the symmetric one: u = D^-1/2 v. Small
-graphs (EXACT nodes, checked) are solved on the driver; larger ones by block subspace iteration on (I + S) / 2 in which the
-block lives in a table, a multiplication is a join and a group-by, and only width x width matrices reach the driver.
+The random-walk Laplacian is not symmetric, so its eigenvectors come from those of the symmetric one: u = D^-1/2 v. Graphs of
+up to EXACT nodes (counted) are solved on the driver; larger ones by subspace iteration with a Chebyshev filter on S, in
+which the block lives in a table, a multiplication is a join and a group-by, and only width x width matrices reach the
+driver. It ends when every residual is below a tolerance, and is an error if that doesn't happen.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.materialize import kept, written
-from .affinity import affinity, degrees, laplacian
+from ..plans.materialize import discarded, kept, written
+from .affinity import affinity, degrees
 from .knn import distances
 
 #: Nodes up to which a graph is solved on the driver; vectors that serve as landmarks (both are bounds of what is collected).
 EXACT, LANDMARKS = 2048, 1024
+#: Multiplications in one round of the filter.
+DEGREE = 8
 
 
 def small_gram(rows: DataFrame, width: int, others: DataFrame | None = None) -> np.ndarray:
@@ -51,6 +54,13 @@ def times(rows: DataFrame, m: np.ndarray) -> DataFrame:
     return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, vec array<double>")
 
 
+def times_shift(rows: DataFrame, mean: np.ndarray, dev: np.ndarray) -> DataFrame:
+    """(id, (vec - mean) / dev)."""
+    from .network import mapped
+
+    return mapped(rows, lambda x: (x - mean) / dev)
+
+
 def _signed(v: np.ndarray) -> np.ndarray:
     """Columns with a positive entry of greatest size."""
     return v * np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1.0, 1.0)
@@ -63,8 +73,32 @@ def _normal(w: DataFrame) -> tuple[DataFrame, DataFrame]:
     return s, deg
 
 
-def eigenvectors(w: DataFrame, n: int, iterations: int = 25, seed: int = 11) -> tuple[DataFrame, np.ndarray, DataFrame]:
-    """((id, vec), eigenvalues ascending, degrees): the n smallest eigenpairs of the symmetric Laplacian, the trivial one first."""
+def _orthonormal(y: DataFrame, width: int) -> DataFrame:
+    value, vec = np.linalg.eigh(small_gram(y, width))
+    return times(y, vec / np.sqrt(np.maximum(value, 1e-14 * value.max())))
+
+
+def _multiplied(s: DataFrame, y: DataFrame, width: int) -> DataFrame:
+    """S Y as (id, vec), for a table of entries (i, j, s) and a block (id, vec)."""
+    return s.join(y.select(F.col("id").alias("j"), "vec"), "j").groupBy(F.col("i").alias("id")).agg(F.array(*[F.sum(F.col("s") * F.col("vec")[d]) for d in range(width)]).alias("vec"))
+
+
+def _combined(*terms: tuple[float, DataFrame]) -> DataFrame:
+    """The weighted sum of blocks (id, vec) with the same ids."""
+    def scaled(weight: float, block: DataFrame) -> DataFrame:
+        return block.select("id", F.transform("vec", lambda x: x * F.lit(float(weight))).alias("vec"))
+
+    out = scaled(*terms[0])
+    for term in terms[1:]:
+        out = out.join(scaled(*term).withColumnRenamed("vec", "_v"), "id").select("id", F.zip_with("vec", "_v", lambda x, y: x + y).alias("vec"))
+    return out
+
+
+def eigenvectors(w: DataFrame, n: int, tol: float = 1e-7, most: int = 200, seed: int = 11) -> tuple[DataFrame, np.ndarray, DataFrame]:
+    """((id, vec), eigenvalues ascending, degrees): the n smallest eigenpairs of the symmetric Laplacian, the trivial one first.
+
+    Beyond EXACT nodes each vector's residual |L v - value v| is below `tol`, or the call fails after `most` rounds.
+    """
     spark = w.sparkSession
     s, deg = _normal(w)
     deg = kept(deg)
@@ -81,18 +115,27 @@ def eigenvectors(w: DataFrame, n: int, iterations: int = 25, seed: int = 11) ->
         return spark.createDataFrame([(i.item(), v) for i, v in zip(ids, vec.tolist())], kind), value[:n], deg
     s, width = kept(s), n + min(8, m - n)
     y = deg.select(F.col("i").alias("id"), F.array(*[(F.pmod(F.xxhash64("i", F.lit(seed + d)), F.lit(1_000_003)) / 500_001.5 - 1) for d in range(width)]).alias("vec"))
-    for _ in range(iterations):
-        r = np.linalg.cholesky(small_gram(y, width) + 1e-12 * np.eye(width))
-        y = times(y, np.linalg.inv(r).T)
-        product = s.join(y.select(F.col("id").alias("j"), "vec"), "j").groupBy("i").agg(*[F.sum(F.col("s") * F.col("vec")[d]).alias(f"x{d}") for d in range(width)])
-        half = y.join(product, y["id"] == product["i"]).select("id", F.array(*[(F.col("vec")[d] + F.col(f"x{d}")) / 2 for d in range(width)]).alias("vec"))
-        y = written(half)
-    r = np.linalg.cholesky(small_gram(y, width) + 1e-12 * np.eye(width))
-    y = written(times(y, np.linalg.inv(r).T))
-    product = s.join(y.select(F.col("id").alias("j"), "vec"), "j").groupBy(F.col("i").alias("id")).agg(F.array(*[F.sum(F.col("s") * F.col("vec")[d]) for d in range(width)]).alias("vec"))
-    inner = small_gram(y, width, product)
-    value, rotation = np.linalg.eigh(np.eye(width) - (inner + inner.T) / 2)
-    return times(y, rotation[:, :n]), value[:n], deg
+    for _ in range(most):
+        y = written(_orthonormal(y, width))
+        z = written(_multiplied(s, y, width))
+        inner = small_gram(y, width, z)
+        theta, rotation = np.linalg.eigh((inner + inner.T) / 2)
+        theta, rotation = theta[::-1], rotation[:, ::-1]
+        length = np.diag(rotation.T @ small_gram(z, width) @ rotation)
+        if np.sqrt(np.maximum(length - theta**2, 0))[:n].max() < tol:
+            return written(times(y, rotation[:, :n])), 1 - theta[:n], deg
+        # Chebyshev polynomials of S grow outside [-1, the block's smallest value] and stay small inside
+        centre, half = (theta[-1] - 1) / 2, max((theta[-1] + 1) / 2, 1e-3)
+        before, now = y, written(_combined((1 / half, z), (-centre / half, y)))
+        for _ in range(DEGREE - 1):
+            after = written(_combined((2 / half, _multiplied(s, now, width)), (-2 * centre / half, now), (-1, before)))
+            if before is not y:
+                discarded(before)
+            before, now = now, after
+        for block in (y, z, before):
+            discarded(block)
+        y = now
+    raise RuntimeError(f"no convergence to {tol} in {most} rounds")
 
 
 def spectral_embedding(w: DataFrame, n: int, drop_first: bool = True) -> tuple[DataFrame, np.ndarray]:
@@ -109,22 +152,13 @@ def diffusion_map(w: DataFrame, n: int, t: int = 1) -> tuple[DataFrame, np.ndarr
     return vec.select("id", F.array(*[F.col("vec")[d] * float((1 - v) ** t) for d, v in enumerate(value)]).alias("vec")), value
 
 
-def ritz(embedding: DataFrame, lap: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
-    """(embedding rotated to approximate eigenvectors, values ascending): columns to unit length, Y' L Y, its eigenvectors."""
-    lengths = np.sqrt(np.maximum(np.diag(small_gram(embedding, width)), 1e-300))
-    unit = kept(times(embedding, np.diag(1 / lengths)))
-    product = lap.join(unit.select(F.col("id").alias("j"), "vec"), "j").groupBy(F.col("i").alias("id")).agg(F.array(*[F.sum(F.col("l") * F.col("vec")[d]) for d in range(width)]).alias("vec"))
-    inner = small_gram(unit, width, product)
-    value, rotation = np.linalg.eigh((inner + inner.T) / 2)
-    return times(unit, _signed(rotation)), value
-
-
 class ScalableEmbedding:
     """A spectral embedding that carries over to new vectors, with fit, transform, fit_transform and get_eigenvalues.
 
     A bounded sample of landmarks is embedded exactly; every other vector takes the affinity-weighted mean of its nearest
-    landmarks' rows divided by 1 minus the eigenvalue (the extension of Nystrom). The values are refined by a Rayleigh-Ritz
-    step. It stands in for a network trained to the same end, whose contract it keeps.
+    landmarks' rows divided by 1 minus the eigenvalue (the extension of Nystrom). Mean and deviation are those of all rows, and
+    a Rayleigh-Ritz step over batches of all rows turns the result to eigenvectors and gives the values. network.ScaSE is
+    trained to the same end and has the same contract.
     """
 
     def __init__(self, n_components: int, n_nbg: int = 10, scale_k: int = 2, is_local_scale: bool = True, t: int = 0, kind: str = "laplace", landmarks: int = LANDMARKS) -> None:
@@ -133,22 +167,25 @@ class ScalableEmbedding:
         self.n, self.n_nbg, self.scale_k, self.is_local, self.t, self.kind, self.landmarks = n_components, n_nbg, scale_k, is_local_scale, t, kind, landmarks
 
     def fit(self, vectors: DataFrame) -> "ScalableEmbedding":
-        sample = vectors.orderBy(F.xxhash64("id"), "id").limit(self.landmarks)
-        rows = sorted(sample.collect(), key=lambda r: r["id"])
-        self.mean = np.mean([r["vec"] for r in rows], 0)
-        dev = np.std([r["vec"] for r in rows], 0, ddof=1) if len(rows) > 1 else np.ones_like(self.mean)
-        self.dev = np.where(dev > 0, dev, 1.0)
+        from .network import column_statistics, ritz_rotation
+
+        vectors = kept(vectors.select("id", "vec"))
+        self.mean, self.dev = column_statistics(vectors)
+        rows = sorted(vectors.orderBy(F.xxhash64("id"), "id").limit(self.landmarks).collect(), key=lambda r: r["id"])
         self.points = (np.array([r["vec"] for r in rows]) - self.mean) / self.dev
         here = vectors.sparkSession.createDataFrame([(r["id"], p) for r, p in zip(rows, self.points.tolist())], vectors.select("id", "vec").schema)
         w = kept(affinity(here, self.n_nbg, self.scale_k, self.is_local, self.kind))
-        vec, self.values = spectral_embedding(w, self.n)
+        vec, values = spectral_embedding(w, self.n)
         got = {r["id"]: r["vec"] for r in vec.collect()}
-        self.rows = np.array([got.get(r["id"], [0.0] * len(self.values)) for r in rows])
+        self.rows, self.shrink = np.array([got.get(r["id"], [0.0] * len(values)) for r in rows]), np.maximum(1 - values, 1e-6)
+        self.rotation, self.values = np.eye(len(values)), np.zeros(len(values))
+        pairs = times_shift(vectors, self.mean, self.dev).join(self.transform(vectors).withColumnRenamed("vec", "y"), "id")
+        self.rotation, self.values = ritz_rotation(pairs, 512, self.n_nbg, self.scale_k, self.is_local, "rw")
         return self
 
     def transform(self, vectors: DataFrame) -> DataFrame:
         """(id, vec): map-only, the landmarks are broadcast."""
-        shared = vectors.sparkSession.sparkContext.broadcast((self.points, self.rows, np.maximum(1 - self.values, 1e-6), self.mean, self.dev, self.n_nbg, (1 - self.values) ** self.t))
+        shared = vectors.sparkSession.sparkContext.broadcast((self.points, self.rows, self.shrink, self.mean, self.dev, self.n_nbg, self.rotation * (1 - self.values) ** self.t))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             points, rows, shrink, mean, dev, k, power = shared.value
@@ -161,7 +198,7 @@ class ScalableEmbedding:
                     dist = np.take_along_axis(d, near, 1)
                     scale = np.maximum(np.median(dist, 1, keepdims=True), 1e-7)
                     w = np.exp(-(dist - dist.min(1, keepdims=True)) / scale)
-                    y = np.einsum("nk,nkc->nc", w / w.sum(1, keepdims=True), rows[near]) / shrink * power
+                    y = np.einsum("nk,nkc->nc", w / w.sum(1, keepdims=True), rows[near]) / shrink @ power
                     yield pd.DataFrame({"id": part["id"].to_numpy(), "vec": list(y)})
 
         return vectors.select("id", "vec").mapInPandas(run, f"id {vectors.schema['id'].dataType.simpleString()}, vec array<double>")
@@ -190,10 +227,15 @@ def pca(vectors: DataFrame, k: int) -> DataFrame:
     return PCA(k=k, inputCol="c", outputCol="p").fit(centred).transform(centred).select("id", vector_to_array("p").alias("vec"))
 
 
-def singular_values(rows: DataFrame) -> np.ndarray:
-    """Singular values of a matrix (id, vec), ascending, from its small Gram matrix."""
+def singular_vectors(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """((id, vec), singular values ascending) of a matrix (id, vec): left vectors in the order of their values, from its small Gram
+    matrix. Vectors of a value that is zero are zero."""
     first = rows.first()
-    return np.sqrt(np.maximum(np.linalg.eigvalsh(small_gram(rows, len(first["vec"]))), 0)) if first else np.zeros(0)
+    if not first:
+        return rows.select("id", "vec"), np.zeros(0)
+    value, right = np.linalg.eigh(small_gram(rows, len(first["vec"])))
+    size = np.sqrt(np.maximum(value, 0))
+    return times(rows, right * np.where(size > 1e-9 * max(size.max(), 1e-300), 1 / np.maximum(size, 1e-300), 0.0)), size
 
 
 def random_walk_embedding(w: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
@@ -202,53 +244,3 @@ def random_walk_embedding(w: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
 
     vec, value = spectral_embedding(w, n, drop_first=False)
     return eigen_scale(vec, value.tolist()), value
-
-
-def embedding_laplacian(vectors: DataFrame, kind: str = "unnormalized", **settings) -> DataFrame:
-    return laplacian(affinity(vectors, **settings), kind)
-
-
-class Autoencoder:
-    """One hidden ReLU layer each way and a linear code, trained on a bounded sample by Adam; nothing is kept between uses."""
-
-    def __init__(self, code: int, hidden: int = 64, steps: int = 300, rate: float = 1e-2, seed: int = 0, sample: int = 20_000) -> None:
-        self.code, self.hidden, self.steps, self.rate, self.seed, self.sample = code, hidden, steps, rate, seed, sample
-
-    def fit(self, vectors: DataFrame) -> "Autoencoder":
-        x = np.array([r["vec"] for r in vectors.orderBy(F.xxhash64("id"), "id").limit(self.sample).collect()], float)
-        rng, sizes = np.random.default_rng(self.seed), [x.shape[1], self.hidden, self.code, self.hidden, x.shape[1]]
-        w = [rng.normal(0, np.sqrt(2 / a), (a, b)) for a, b in zip(sizes, sizes[1:])] + [np.zeros(b) for b in sizes[1:]]
-        m, v, self.losses = [np.zeros_like(p) for p in w], [np.zeros_like(p) for p in w], []
-        for step in range(1, self.steps + 1):
-            b = x[rng.integers(0, len(x), min(256, len(x)))]
-            acts = [b]
-            for k in range(4):
-                z = acts[-1] @ w[k] + w[4 + k]
-                acts.append(np.maximum(z, 0) if k in (0, 2) else z)
-            g = 2 * (acts[-1] - b) / b.size
-            self.losses.append(float(((acts[-1] - b) ** 2).mean()))
-            grads: list[np.ndarray] = [np.zeros(0)] * 8
-            for k in (3, 2, 1, 0):
-                if k in (0, 2):
-                    g = g * (acts[k + 1] > 0)
-                grads[k], grads[4 + k] = acts[k].T @ g, g.sum(0)
-                g = g @ w[k].T
-            for i, gr in enumerate(grads):
-                m[i], v[i] = 0.9 * m[i] + 0.1 * gr, 0.999 * v[i] + 0.001 * gr**2
-                w[i] = w[i] - self.rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-        self.weights = w
-        return self
-
-    def embed(self, vectors: DataFrame) -> DataFrame:
-        shared = vectors.sparkSession.sparkContext.broadcast(self.weights)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            w = shared.value
-            for b in batches:
-                if len(b):
-                    h = np.maximum(np.stack(b["vec"].to_numpy()) @ w[0] + w[4], 0)
-                    yield pd.DataFrame({"id": b["id"].to_numpy(), "vec": list(h @ w[1] + w[5])})
-
-        return vectors.select("id", "vec").mapInPandas(run, f"id {vectors.schema['id'].dataType.simpleString()}, vec array<double>")
-
-

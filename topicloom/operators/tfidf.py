@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .dictionary import doc_tokens
+from .dictionary import doc_tokens, looked_up
 
 
 def tfidf(corpus: DataFrame, n_docs: int, binary: bool = True, normalised: bool = True) -> DataFrame:
@@ -14,7 +14,7 @@ def tfidf(corpus: DataFrame, n_docs: int, binary: bool = True, normalised: bool
     """
     tf = doc_tokens(corpus).withColumn("tf", F.lit(1) if binary else F.col("tf"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    raw = tf.join(df, "token").select("doc_id", F.col("token").alias("word"), (F.col("tf") * (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0)).alias("x"))
+    raw = looked_up(tf, df, "df").select("doc_id", F.col("token").alias("word"), (F.col("tf") * (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0)).alias("x"))
     if not normalised:
         return raw.select("doc_id", "word", F.col("x").alias("tfidf"))
     norms = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))

@@ -5,6 +5,8 @@ Null vectors and vectors with a null or NaN element are left out by `finite`; th
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -60,9 +62,10 @@ def zscore(vectors: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(stats), "dim").select("id", "dim", F.when(varies, (F.col("x") - F.col("mean")) / F.col("dev")).otherwise(F.col("x")).alias("x"))  # a row a dimension
 
 
-def random_vector(df: DataFrame, width: int, seed: int = 0) -> DataFrame:
-    """Adds `vec`: normal deviates from a seed, the same in every row of a partition order; not normalised."""
-    return df.withColumn("vec", F.array(*[F.randn(seed + d) for d in range(width)]))
+def random_vector(width: int, seed: int = 0) -> list[float]:
+    """One vector of normal deviates from a seed (the rule of Box and Muller), the same wherever it is drawn; not normalised."""
+    rng = random.Random(seed)
+    return [math.sqrt(-2 * math.log(1 - rng.random())) * math.cos(2 * math.pi * rng.random()) for _ in range(width)]
 
 
 def align(words: DataFrame, vectors: DataFrame, drop_index_zero: bool = True) -> DataFrame:
@@ -78,8 +81,9 @@ def align(words: DataFrame, vectors: DataFrame, drop_index_zero: bool = True) ->
     return numbered(known.join(wanted, "word", "left_semi"), "ix", F.col("old")).select("ix", "word", "vec")
 
 
-def word2vec(words: DataFrame, vectors: DataFrame, unknown: Sequence[float]) -> DataFrame:
-    """(word, vec) of every distinct word; words without a vector share `unknown`."""
+def word2vec(words: DataFrame, vectors: DataFrame, unknown: Sequence[float] | int) -> DataFrame:
+    """(word, vec) of every distinct word; words without a vector share `unknown`, or one random vector of that width."""
+    unknown = random_vector(unknown) if isinstance(unknown, int) else unknown
     known = vectors.where(F.col("word").isNotNull() & F.col("vec").isNotNull()).groupBy("word").agg(F.max_by("vec", "ix").alias("vec"))
     default = F.array(*[F.lit(float(x)) for x in unknown])
     return words.select("word").where(F.col("word").isNotNull()).distinct().join(known, "word", "left").select("word", F.coalesce(F.col("vec").cast("array<double>"), default).alias("vec"))

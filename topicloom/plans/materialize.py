@@ -8,21 +8,50 @@ import uuid
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+_made: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); a local one only where none is set."""
+    """The shared folder of the cluster (spark.checkpoint.dir). Where none is set, a local session gets one of its own; on a
+    cluster, whose machines don't share their disks, that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="topicloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def _files(spark: SparkSession, path: str):
+    """(file system, path) in the JVM."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def written(df: DataFrame) -> DataFrame:
-    """`df` written once as Parquet in the shared folder and read again: a short plan, safe if executors are lost."""
-    path = f"{shared_dir(df.sparkSession)}/topicloom/{uuid.uuid4().hex}"
+    """`df` written once as Parquet in the shared folder and read again: a short plan, safe if executors are lost.
+
+    What an application wrote is deleted when it ends, or before by `discarded`.
+    """
+    spark = df.sparkSession
+    root = f"{shared_dir(spark)}/topicloom-{spark.sparkContext.applicationId}"
+    if root not in _made:
+        files, path = _files(spark, root)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _made.add(root)
+    path = f"{root}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discarded(df: DataFrame) -> None:
+    """Deletes the table behind a result of `written` that nothing will read again."""
+    names = df.inputFiles()
+    if names:
+        files, path = _files(df.sparkSession, names[0].rsplit("/", 1)[0])
+        files.delete(path, True)
 
 
 def kept(df: DataFrame) -> DataFrame:

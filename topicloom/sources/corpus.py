@@ -1,4 +1,4 @@
-"""Readers and writers of corpora, vectors, word lists, predictions and models."""
+"""Readers and writers of corpora, vectors, word lists and predictions; models.py has those of fitted models."""
 
 from __future__ import annotations
 
@@ -17,6 +17,22 @@ def read_json_corpus(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(F.from_json("value", "array<string>")).alias("doc_id", "text")).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """Adds the place of a row in its folder of files: file names in order, then the order within."""
+    return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+
+
+def read_corpus(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(doc_id, text) of a corpus stored as `json`, `csv` (its labels are left out) or `parquet`."""
+    if kind == "json":
+        return read_json_corpus(spark, path)
+    if kind == "csv":
+        return read_csv_corpus(spark, path).select("doc_id", "text")
+    if kind == "parquet":
+        return spark.read.parquet(path).select("doc_id", "text")
+    raise ValueError(f"unknown kind of corpus {kind!r}")
+
+
 def read_csv_corpus(spark: SparkSession, path: str, columns: str = "id string, text string, label string") -> DataFrame:
     """(doc_id, text, label) from a CSV with a header: the second column is the text, the third the label; quoted line breaks are kept.
 
@@ -24,8 +40,8 @@ def read_csv_corpus(spark: SparkSession, path: str, columns: str = "id string, t
     """
     raw = spark.read.csv(path, header=True, schema=columns, multiLine=True, quote='"', escape='"')
     names = raw.columns
-    rows = raw.select(F.monotonically_increasing_id().alias("_at"), F.col(names[1]).alias("text"), F.col(names[2]).alias("label"))
-    return numbered(rows, "doc_id", F.col("_at")).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label")
+    rows = _placed(raw).select("_file", "_block", "_at", F.col(names[1]).alias("text"), F.col(names[2]).alias("label"))
+    return numbered(rows, "doc_id", F.col("_file"), F.col("_block"), F.col("_at")).select("doc_id", "text", "label")
 
 
 def corpus_with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -36,9 +52,8 @@ def corpus_with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     """(ix, word, vec) from lines `word v1 .. vd`; ix is the line's number. Blank lines are left out, after numbering."""
-    lines = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
     parts = F.split(F.trim("value"), r"\s+")
-    rows = numbered(lines, "ix", F.col("_at")).where(F.trim("value") != "").select("ix", parts.alias("p"))
+    rows = numbered(_placed(spark.read.text(path)), "ix", F.col("_file"), F.col("_block"), F.col("_at")).where(F.trim("value") != "").select("ix", parts.alias("p"))
     return rows.select("ix", F.col("p")[0].alias("word"), F.transform(F.slice("p", 2, 1_000_000), lambda x: x.try_cast("float")).alias("vec"))
 
 
