@@ -175,7 +175,8 @@ class SpectralNetwork:
 class SpectralTrainer:
     """Fits a SpectralNetwork; `losses` holds each epoch's (training, validation) loss.
 
-    Training ends after `epochs`, or when the validation loss, to seven digits, has been the same five epochs in a row.
+    Training ends after `epochs`, or when the validation loss, to seven digits, has been the same five epochs in a row. The
+    weights of the epoch of least validation loss are kept, because outputs that have collapsed can make it rise again.
     """
 
     def __init__(self, hiddens: Sequence[int], epochs: int = 30, lr: float = 1e-3, lr_decay: float = 0.1, min_lr: float = 1e-8, patience: int = 10, batch_size: int = 2048, n_nbg: int = 30,
@@ -204,7 +205,7 @@ class SpectralTrainer:
         net = SpectralNetwork([x.shape[1], *self.hiddens], self.seed)
         fit, held = split(x, rng)
         adam = Adam(net.layers.weights + net.layers.biases, self.lr, self.lr_decay, self.min_lr, self.patience)
-        self.losses, last, same = [], math.nan, 0
+        self.losses, last, same, best = [], math.nan, 0, (math.inf, [], net.ortho)
         least = 2 * self.hiddens[-1]
         for _ in range(self.epochs):
             losses = []
@@ -219,10 +220,15 @@ class SpectralTrainer:
             valid = self.validate(net, held)
             self.losses.append((float(np.mean(losses)), valid))
             adam.watch(valid)
+            if valid < best[0]:
+                best = (valid, [p.copy() for p in adam.p], net.ortho)
             same = same + 1 if round(valid, 7) == last else 0
             last = round(valid, 7)
             if same == 5:
                 break
+        for p, kept_p in zip(adam.p, best[1]):
+            p[...] = kept_p
+        net.ortho = best[2]
         return net
 
 
