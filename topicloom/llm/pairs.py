@@ -2,9 +2,10 @@
 
 Only items that can reach both thresholds take part: c is at most the smaller df and the lift is at most N divided by the
 larger df, so an item with df below `min_count` or above N / `min_lift` is in no result (an exact bound, not a cap).
-In blocks of records, pairs of frequent items are counted by popcounts over a dense bit matrix (an item a row, a record a
-bit), pairs of a rare and a frequent item by probing the matrix with the rare item's list of records, and pairs of rare
-items by hashing. Each block emits its counts once per pair, and these partial counts are summed by pair.
+They are numbered, most records first, so an item's number is its identity and the frequent ones have the small numbers. In
+blocks of records, pairs of frequent items are counted by popcounts over a dense bit matrix (an item a row, a record a bit),
+pairs of a rare and a frequent item by probing the matrix with the rare item's list of records, and pairs of rare items by
+their codes. Each block emits its counts once per pair, and these partial counts are summed by pair.
 """
 
 from __future__ import annotations
@@ -15,110 +16,41 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.paircount import count_block, count_lists  # noqa: F401
+from ..plans.ids import numbered
+from ..plans.materialize import kept
 from .records import corpus_records
 from .term_counts import _TOKENS, term_counts
 
-#: Frequent items in the bit matrix: with BLOCK records a matrix of a few MB.
-DENSE = 512
-#: A block ends after so many records or items.
-BLOCK, BLOCK_ITEMS = 32768, 300_000
-#: Pairs of rare items that are hashed at once.
+#: Frequent items in the bit matrix, which with a block of records takes a few MB; items whose numbers are broadcast.
+DENSE, HOT = 512, 1024
+#: Pairs of rare items that are counted at once.
 SLICE = 1_500_000
 
 
-def count_block(sizes: np.ndarray, item: np.ndarray, dense: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, c) with a < b of one block. sizes: items of each record; item: their keys, distinct in a record; dense: which are frequent."""
-    record = np.repeat(np.arange(len(sizes)), sizes)
-    keys, local = np.unique(item, return_inverse=True)
-    hot = np.zeros(len(keys), bool)
-    hot[local[dense]] = True
-    heavy = np.flatnonzero(hot)
-    row_of = np.full(len(keys), -1)
-    row_of[heavy] = np.arange(len(heavy))
-
-    def out(a: np.ndarray, b: np.ndarray, c: np.ndarray):
-        return keys[np.minimum(a, b)], keys[np.maximum(a, b)], c.astype(np.int64)
-
-    bits = np.zeros((len(heavy), len(sizes)), bool)
-    on = hot[local]
-    bits[row_of[local[on]], record[on]] = True
-    if len(heavy):
-        packed = np.packbits(bits, axis=1)
-        packed = np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
-        for i in range(len(heavy) - 1):
-            c = np.bitwise_count(packed[i + 1 :] & packed[i]).sum(1)
-            j = np.flatnonzero(c)
-            if len(j):
-                yield out(np.full(len(j), heavy[i]), heavy[i + 1 + j], c[j])
-    rare_at = np.flatnonzero(~on)
-    if not len(rare_at):
-        return
-    rare, rec = local[rare_at], record[rare_at]
-    if len(heavy):  # list probing: the columns of the matrix at the records of a rare item, summed
-        order = np.argsort(rare, kind="stable")
-        columns = np.ascontiguousarray(bits.T)
-        for at in range(0, len(order), 50_000):
-            o = order[at : at + 50_000]
-            starts = np.flatnonzero(np.r_[True, rare[o][1:] != rare[o][:-1]])
-            c = np.add.reduceat(columns[rec[o]], starts, axis=0, dtype=np.uint16)
-            i, j = np.nonzero(c)
-            yield out(rare[o][starts][i], heavy[j], c[i, j])
-    order = np.lexsort((rare, rec))
-    rare, rec = rare[order], rec[order]
-    end = np.searchsorted(rec, rec, "right")
-    follow = end - np.arange(len(rec)) - 1  # items that stand after this one in its record
-    upto = np.cumsum(follow)
-    at = 0
-    while at < len(rec):
-        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE, "right")))
-        n = follow[at:to]
-        first = np.repeat(np.arange(at, to), n)
-        second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
-        code, c = np.unique(rare[first] * len(keys) + rare[second], return_counts=True)
-        yield out(code // len(keys), code % len(keys), c)
-        at = to
-
-
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def done(held: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lists = [x for b in held for x in b["items"]]
-        dense = np.concatenate([x for b in held for x in b["dense"]]).astype(bool)
-        for a, b, c in count_block(np.array([len(x) for x in lists]), np.concatenate(lists), dense):
-            yield pd.DataFrame({"a": a, "b": b, "c": c})
-
-    held, rows, items = [], 0, 0
-    for batch in batches:
-        for at in range(0, len(batch), 1000):
-            part = batch.iloc[at : at + 1000]
-            held.append(part)
-            rows, items = rows + len(part), items + part["items"].str.len().sum()
-            if rows >= BLOCK or items >= BLOCK_ITEMS:
-                yield from done(held)
-                held, rows, items = [], 0, 0
-    if held:
-        yield from done(held)
-
-
 def item_pairs(records: DataFrame, min_count: int = 20, min_lift: float = 10.0) -> DataFrame:
     """(token_a, token_b, c, lift), token_a < token_b: pairs in at least `min_count` records together and with lift c N / (df df) of at least `min_lift`.
 
     Repeats of a token in a record count once. No records give no pairs.
     """
-    spark = records.sparkSession
-    _, heavy, light, n = term_counts(records)
+    terms, heavy, _, n = term_counts(records)
     able = (F.col("df") >= min_count) & (F.col("df") * min_lift <= n)
-    key = F.xxhash64("token").alias("key")
-    hot = [r["token"] for r in heavy.where(able).orderBy(F.desc("df"), "token").limit(DENSE).collect()]
-    dense = spark.createDataFrame([(t,) for t in hot], "token string").coalesce(1).select("token", F.lit(True).alias("dense"))
+    names = kept(numbered(terms.where(able).select("token", "df"), "id", F.desc("df"), F.col("token")))
+    hot = F.broadcast(names.where(F.col("id") < HOT))
+    # common terms that can't take part go first, then those of small numbers meet a broadcast; what is shuffled has no hot key
+    apart = F.broadcast(heavy.where(~able).select("token").union(names.where(F.col("id") < HOT).select("token")))
     rows = records.select("doc_id", F.explode(F.array_distinct("tokens")).alias("token"))
-    first = rows.join(F.broadcast(heavy.where(able).join(dense, "token", "left")), "token")
-    rest = rows.join(F.broadcast(heavy.select("token")), "token", "left_anti").join(light.where(able), "token").withColumn("dense", F.lit(False))
-    items = first.select("doc_id", key, F.coalesce("dense", F.lit(False)).alias("dense")).union(rest.select("doc_id", key, "dense"))
-    lists = items.groupBy("doc_id").agg(F.collect_list("key").alias("items"), F.collect_list("dense").alias("dense")).where(F.size("items") > 1)
-    counts = lists.select("items", "dense").mapInPandas(_count, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c")).where(F.col("c") >= min_count)
-    names = heavy.union(light).where(able).select(key, "token", "df")
+    rest = rows.join(apart, "token", "left_anti").join(names.where(F.col("id") >= HOT), "token")
+    items = rows.join(hot, "token").select("doc_id", "id").union(rest.select("doc_id", "id"))
+    lists = items.groupBy("doc_id").agg(F.collect_list("id").alias("items")).where(F.size("items") > 1)
+    frequent, at_once = np.arange(DENSE), SLICE
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from count_lists(batches, frequent, at_once)
+
+    counts = lists.select("items").mapInPandas(run, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c")).where(F.col("c") >= min_count)
     for side in ("a", "b"):
-        counts = counts.join(names.select(F.col("key").alias(side), F.col("token").alias(f"t{side}"), F.col("df").alias(f"df{side}")), side)
+        counts = counts.join(names.select(F.col("id").alias(side), F.col("token").alias(f"t{side}"), F.col("df").alias(f"df{side}")), side)
     pairs = counts.select(F.least("ta", "tb").alias("token_a"), F.greatest("ta", "tb").alias("token_b"), "c", (F.col("c") * float(n) / (F.col("dfa") * F.col("dfb"))).alias("lift"))
     return pairs.where(F.col("lift") >= min_lift)
 
