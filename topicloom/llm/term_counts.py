@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .records import corpus_records, token_counts
+from .records import corpus_records
 
 #: The most terms that are counted in local arrays: the bound of what is broadcast.
 HEAVY = 512
@@ -50,6 +50,16 @@ def count_heavy(records: DataFrame, heavy: list[str]) -> tuple[dict[str, tuple[i
     return {t: got[i] for i, t in enumerate(heavy) if got.get(i, (0, 0))[0]}, got.get(-1, (0, 0))[0]
 
 
+def first_marked(records: DataFrame) -> DataFrame:
+    """(token, first) of every occurrence; first is 1 once a record and token, else 0.
+
+    A record is one row, so its sorted tokens tell repeats apart without a shuffle by record.
+    """
+    rows = records.select(F.array_sort("tokens").alias("s"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("s", 1, F.greatest(F.size("s") - 1, F.lit(0))))
+    return rows.select(F.inline(F.zip_with("s", before, lambda a, b: F.struct(a.alias("token"), F.when(a == b, 0).otherwise(1).cast("long").alias("first"))))).where(F.col("token").isNotNull())
+
+
 def term_counts(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """(all, heavy, light, N): tables (token, df, cf) of all terms, and of the two parts; N is the number of records.
 
@@ -58,7 +68,7 @@ def term_counts(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, in
     spark = records.sparkSession
     counts, n = count_heavy(records, heavy_terms(records))
     heavy = spark.createDataFrame([(t, d, c) for t, (d, c) in counts.items()], "token string, df long, cf long").coalesce(1)
-    light = token_counts(records).join(F.broadcast(heavy.select("token")), "token", "left_anti").groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    light = first_marked(records).join(F.broadcast(heavy.select("token")), "token", "left_anti").groupBy("token").agg(F.sum("first").alias("df"), F.count(F.lit(1)).alias("cf"))
     return heavy.union(light), heavy, light, n
 
 
