@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..plans.materialize import kept, written
+from ..plans.materialize import discarded, kept, written
 from ..sources.tables import table
 
 #: Hashed features; records per cluster that are aimed at; the most clusters (their centroids are broadcast).
@@ -231,7 +231,9 @@ def components(links: DataFrame) -> DataFrame:
         large = written(large)
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where(F.col("v") != F.col("u"))
-        links = written(small.union(least.select("v", F.col("m").alias("u"))).distinct())
+        before, links = links, written(small.union(least.select("v", F.col("m").alias("u"))).distinct())
+        discarded(before)
+        discarded(large)
 
 
 def candidate_labels(vecs: DataFrame, centres: np.ndarray) -> DataFrame:
