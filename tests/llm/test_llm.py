@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -296,6 +297,42 @@ def test_nearest_in_chunks(spark, monkeypatch):
     assert recall(spark, x, 4)[1] == whole
 
 
+def test_nearest_in_rounds(spark, monkeypatch):
+    """Rounds and sections change no row, and what lies shuffled at a time stays far below all the posted copies."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 50)).astype(np.float32).astype(float)
+    x[2980:] = x[0]
+    frame = neighbours.usable(vec_frame(spark, list(enumerate(x))), 50).cache()
+    whole = {tuple(r) for r in neighbours.nearest(frame, 4).collect()}
+    copies, most, over = 3000 * neighbours.POSTS * (200 + 126), [0], threading.Event()
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def lying():
+        return sum(f.length() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(files.getAllFiles()) if f.getName().startswith("shuffle_"))
+
+    def watch():
+        while not over.wait(0.05):
+            most.append(lying())
+
+    spark.sparkContext._jvm.System.gc()
+    before = lying()
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    monkeypatch.setattr(neighbours, "ROUND", 0, raising=False)
+    monkeypatch.setattr(neighbours, "ROUND_EACH", 600, raising=False)
+    try:
+        got = {tuple(r) for r in neighbours.nearest(frame, 4).collect()}
+    finally:
+        over.set()
+        watcher.join()
+    assert got == whole and max(most) - before < copies / 2
+    monkeypatch.setattr(neighbours, "CHUNK", 100)
+    monkeypatch.setattr(neighbours, "SECTION", 1, raising=False)
+    close = {(i, j) for i, j, c in whole if c >= 0.5}
+    got = {tuple(r) for r in neighbours.nearest(frame, 4, least=0.5).collect()}
+    assert close <= {(i, j) for i, j, _ in got} and all(c >= 0.5 for _, _, c in got)
+
+
 def test_nearest_with_copies_and_few_rows(spark):
     same = [(i, [1.0, 2.0, 3.0]) for i in range(12)] + [(20, [3.0, 2.0, 1.0])]
     got = neighbours.nearest(neighbours.usable(vec_frame(spark, same), 3), 3).collect()
