@@ -466,6 +466,48 @@ def test_leak_behind_many_repetitions():
     assert own.share(0, at) >= leaks.HALF
 
 
+def spans_by_brute_force(seeds):
+    for s, (j, i) in enumerate(seeds):
+        most = {s: 2}
+        for e, (y, x) in enumerate(seeds):
+            for f in range(e + 1, len(seeds)) if e in most else ():
+                dj, di = seeds[f][0] - y, seeds[f][1] - x
+                if 0 < dj <= 7 and 0 < di <= 7 and abs(di - dj) <= 4:
+                    most[f] = max(most.get(f, 0), most[e] + min(di, 2))
+        yield from ((i, seeds[e][1] + 2, j) for e, n in most.items() if n >= 5 and n >= 0.7 * (seeds[e][1] + 2 - i))
+
+
+def shares(item, text):
+    """The share that the operator finds, and that of the best of all chains."""
+    own, at = leaks.Items([(1, " ".join(item))]), {}
+    for j, h in enumerate(leaks.shingles(leaks.codes(text, leaks._Codes()), 2).tolist()):
+        at.setdefault(h, []).append(j)
+    spans = set(spans_by_brute_force(sorted((j, i) for h, some in own.pairs[0].items() for j in at.get(h, ()) for i in some)))
+    two = (len({*range(a, b), *range(c, d)}) for a, b, j in spans for c, d, k in spans if c > a and k > j)
+    return own.share(0, at), max([0, *(b - a for a, b, _ in spans), *two]) / len(item)
+
+
+def test_leak_before_scattered_words():
+    """Half of an item stands there in full; a few of its later words, at wide distances, must not undo that."""
+    item = [f"w{i}" for i in range(60)]
+    text = item[:31] + [w for i in range(31, 53, 7) for w in [f"x{i}"] * 5 + item[i + 5 : i + 7]]
+    assert min(shares(item, text)) >= leaks.HALF
+
+
+def test_leaks_of_items_that_repeat_their_words():
+    rng = random.Random(4)
+    cases = []
+    for _ in range(300):
+        few, n = rng.choice([8, 15]), rng.choice([20, 30])
+        item = [str(rng.randrange(few)) for _ in range(n)]
+        other = lambda k: [str(rng.randrange(3 * few)) for _ in range(k)]  # noqa: E731, B023
+        at = rng.randrange(n // 2)
+        part = [w if rng.random() > 0.06 else "other" for w in item[at : at + rng.randrange(n // 2, n)] if rng.random() > 0.06]
+        cases.append(shares(item, other(10) + part + other(10)))
+    assert all((got >= leaks.HALF) == (want >= leaks.HALF) and got <= want + 1e-9 for got, want in cases)
+    assert 0 < sum(want >= leaks.HALF for _, want in cases) < len(cases)
+
+
 @pytest.mark.parametrize("piece", [90, 700])
 def test_long_texts_are_judged_whole(spark, monkeypatch, piece):
     rng = random.Random(2)

@@ -4,7 +4,8 @@ Items are partitioned by size. A document's three-word shingles are cut, for eac
 about half an item of the class, so that even a part of a short item fills a good share of some window of a long document.
 Windows and items are sketched by MinHash; an item is a candidate where any of the hashes agrees. Each candidate is verified
 exactly: two-word shingles that both texts share are chained into stretches, and the item's words that stand in order in
-the best one or two stretches are counted.
+the best one or two stretches are counted. Chains that take each shingle once are quickly found and mostly decide; where they
+make no case, the best of all chains are.
 
 The items are a stated query set: they are broadcast in blocks of bounded size and met by all documents, without a shuffle.
 """
@@ -27,6 +28,8 @@ from ..sources.tables import table
 HASHES, SHARED, BLOCK = 32, 3, 4096
 #: Share of an item's words that makes a case, and the least words of a stretch.
 HALF, STRETCH = 0.5, 5
+#: Words by which a stretch may go on in either text, and by how many of them the texts may differ.
+GAP, DRIFT = 7, 4
 #: Characters that are cut into words at once; a document's codes are put together again before anything is judged.
 PIECE = 2_000_000
 
@@ -153,39 +156,83 @@ class Items:
         """The share of item n's words that stand in order in the document's best one or two stretches.
 
         doc_pairs: the positions of the document's two-word shingles, at least of those that the item has. A stretch goes on over a few changed, missing or added
-        words; these count as the item's if at least seven of ten words of the stretch stand there exactly.
+        words; these count as the item's if at least seven of ten words of the stretch stand there exactly. Quickly found stretches
+        decide where they make a case; else all stretches are looked at, unless too few words are shared for a case (the share is then a lower bound).
         """
         seeds = sorted((j, i) for h, at in self.pairs[n].items() for j in doc_pairs.get(h, ()) for i in at)
-        chains: list[list[tuple[int, int]]] = []
-        open_: list[list[tuple[int, int]]] = []
-        for j, i in seeds:
-            open_ = [c for c in open_ if j - c[-1][0] <= 7]
-            fit = [c for c in open_ if 0 < i - c[-1][1] <= 7 and j > c[-1][0] and abs((i - c[-1][1]) - (j - c[-1][0])) <= 4]
-            if fit:
-                min(fit, key=lambda c: (abs((i - c[-1][1]) - (j - c[-1][0])), -len(c))).append((j, i))
-            else:
-                open_.append([(j, i)])
-                chains.append(open_[-1])
-        good = []
-        for c in chains:
-            exact = len({x for _, i in c for x in (i, i + 1)})
-            a, b = c[0][1], c[-1][1] + 2
-            if exact >= STRETCH and exact >= 0.7 * (b - a):
-                good.append((a, b, c[0][0]))
-        size, best = len(self.codes[n]), 0
-        first: dict[tuple[int, int], int] = {}
-        last: dict[tuple[int, int], int] = {}
-        for a, b, j in good:  # of equal stretches, the earliest and the latest place in the document say all
-            first[a, b] = min(first.get((a, b), j), j)
-            last[a, b] = max(last.get((a, b), j), j)
-        if first:
-            spans, late = np.array(list(first)), np.array([last[s] for s in first])
-            for (a, b), j in first.items():
-                best = max(best, b - a)
-                then = spans[(spans[:, 0] > a) & (late > j)]  # in order
-                if len(then):
-                    best = max(best, int((b - a + then[:, 1] - then[:, 0] - np.maximum(0, np.minimum(b, then[:, 1]) - then[:, 0])).max()))
-        return best / size if size else 0.0
+        size = len(self.codes[n])
+        quick = best_two(quick_stretches(seeds)) / size if size else 0.0
+        # either stretch has seven of ten words; where both have the same seven, these are seven of the thirteen in both
+        if quick >= HALF or not seeds or len({x for _, i in seeds for x in (i, i + 1)}) < 7 / 13 * HALF * size - 1e-9:
+            return quick
+        return best_two(all_stretches(seeds, size)) / size
+
+
+def quick_stretches(seeds: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(first word, end, place in the document) of stretches of an item, chained from seeds (place in the document, in the item) in
+    order, each of which goes to one chain only."""
+    chains: list[list[tuple[int, int]]] = []
+    open_: list[list[tuple[int, int]]] = []
+    for j, i in seeds:
+        open_ = [c for c in open_ if j - c[-1][0] <= GAP]
+        fit = [c for c in open_ if 0 < i - c[-1][1] <= GAP and j > c[-1][0] and abs((i - c[-1][1]) - (j - c[-1][0])) <= DRIFT]
+        if fit:
+            min(fit, key=lambda c: (abs((i - c[-1][1]) - (j - c[-1][0])), -len(c))).append((j, i))
+        else:
+            open_.append([(j, i)])
+            chains.append(open_[-1])
+    good = []
+    for c in chains:
+        exact = len({x for _, i in c for x in (i, i + 1)})
+        a, b = c[0][1], c[-1][1] + 2
+        if exact >= STRETCH and exact >= 0.7 * (b - a):
+            good.append((a, b, c[0][0]))
+    return good
+
+
+def all_stretches(seeds: list[tuple[int, int]], size: int) -> list[tuple[int, int, int]]:
+    """The same over every way to chain the seeds: of the stretches that begin with a seed, the longest, which can stand for the others.
+
+    From the last seed to the first: most[e] is the greatest number of exact words of a chain that begins there and ends before
+    word e, from those of all seeds that can follow.
+    """
+    good: list[tuple[int, int, int]] = []
+    after: dict[int, dict[int, np.ndarray]] = {}
+    ends = np.arange(size + 1)
+    for j, i in reversed(seeds):
+        if j not in after:
+            after = {at: some for at, some in after.items() if at - j <= GAP} | {j: {}}
+        most = np.full(size + 1, -size, np.int64)
+        most[i + 2] = 2
+        for at, some in after.items():
+            for di in range(max(1, at - j - DRIFT), min(GAP, at - j + DRIFT) + 1) if at > j else ():
+                if (then := some.get(i + di)) is not None:
+                    np.maximum(most, then + min(di, 2), out=most)
+        after[j][i] = most
+        fine = np.flatnonzero((most >= STRETCH) & (most >= 0.7 * (ends - i)))
+        if len(fine):
+            good.append((i, int(fine[-1]), j))
+            if fine[-1] - i >= HALF * size:
+                return good[-1:]
+    return good
+
+
+def best_two(stretches: list[tuple[int, int, int]]) -> int:
+    """The most words of an item in one stretch, or in two that stand in order."""
+    best = 0
+    first: dict[tuple[int, int], int] = {}
+    last: dict[tuple[int, int], int] = {}
+    for a, b, j in stretches:  # of equal stretches, the earliest and the latest place in the document say all
+        first[a, b] = min(first.get((a, b), j), j)
+        last[a, b] = max(last.get((a, b), j), j)
+    if first:
+        spans, late = np.array(list(first)), np.array([last[s] for s in first])
+        for (a, b), j in first.items():
+            best = max(best, b - a)
+            then = spans[(spans[:, 0] > a) & (late > j)]  # in order
+            if len(then):
+                best = max(best, int((b - a + then[:, 1] - then[:, 0] - np.maximum(0, np.minimum(b, then[:, 1]) - then[:, 0])).max()))
+    return best
 
 
 def leaks(docs: DataFrame, items: list[tuple[int, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
