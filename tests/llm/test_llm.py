@@ -542,6 +542,14 @@ def test_reading_levels(spark, data):
     assert reading_level.reading_levels(docs.limit(0), graded).count() == 0
 
 
+def test_reading_level_of_the_shortest_text(spark, data):
+    """60 words of one letter, with nothing at either end, are 119 characters; every row that has its 60 words gets a level."""
+    graded = spark.read.parquet(f"{data}/graded_samples.parquet")
+    rows = [(1, " ".join(["I", "a"] * 30)), (2, " ".join(["I", "a"] * 30) + "."), (3, " ".join(["I", "a"] * 29 + ["I"])), (4, "I  a " * 29 + "I")]
+    got = reading_level.reading_levels(spark.createDataFrame(rows, "doc_id long, text string"), graded).collect()
+    assert {r["doc_id"] for r in got} == {1, 2}
+
+
 def test_subject_labels():
     cases = {"rec.autos": "motoring", "LAW": "law", "Food & drink": "cooking", "sci.med": "medicine", "Medicine ": "medicine", "other": None, "": None, None: None, "music.law": None}
     assert all(subjects.subject_of(k) == v for k, v in cases.items())

@@ -149,7 +149,8 @@ def reading_levels(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", t
             level = model.predict(np.array([x for _, x in some])) if some else []
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], b.column(0).type), pa.array(level, pa.int32())], ["doc_id", "level"])
 
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") >= 2 * LEAST_WORDS)
+    least = 2 * LEAST_WORDS - 1  # characters: words of one letter, and what parts them
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") >= least)
     return texts.mapInArrow(run, f"doc_id {kind}, level int").groupBy("doc_id").agg(F.max("level").alias("level"))
 
 
