@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import threading
+import time
 
 import numpy as np
 import pytest
@@ -362,6 +363,54 @@ def test_nearest_with_scaled_copies(spark):
     assert all(sorted(by[i]) == sorted(want[i].tolist()) for i in [*range(40), *range(200, 240)])
 
 
+def near_copies(rng, groups, size, dims=50):
+    """Groups of near vectors and as many apart, some of them scaled copies."""
+    x = np.repeat(rng.normal(size=(groups, dims)), size, axis=0)
+    x = np.concatenate([x + 0.15 * rng.normal(size=x.shape), rng.normal(size=(groups * size, dims))])
+    x[1] = x[0] * 2
+    return x.astype(np.float32)
+
+
+def close_truth(x, k, least):
+    u = neighbours.unit(x)
+    s = np.round(u @ u.T, 12)
+    np.fill_diagonal(s, -2)
+    return {(i, int(j)) for i, row in enumerate(np.argsort(-s, axis=1, kind="stable")[:, :k]) for j in row if s[i, j] >= least}
+
+
+def test_close_neighbours(spark, monkeypatch):
+    """All near neighbours come out, of files that are compared in full and of such that other pivots divide, in one section or several."""
+    x = near_copies(np.random.default_rng(6), 150, 9)
+    frame = neighbours.usable(vec_frame(spark, list(enumerate(x.astype(float)))), 50).cache()
+    want = close_truth(x, 5, 0.9)
+    assert len(want) > 5000
+    for whole, chunk in ((4096, 2048), (20, 2048), (20, 3)):
+        monkeypatch.setattr(neighbours, "CLOSE_FILE", whole, raising=False)
+        monkeypatch.setattr(neighbours, "CHUNK", chunk)
+        assert {(r["ix"], r["nbr"]) for r in neighbours.nearest(frame, 5, least=0.9).collect()} == want
+
+
+def test_close_neighbours_take_less_time():
+    """A file of 4,000 vectors, as it is searched with orders and without: the best of three times."""
+    x = near_copies(np.random.default_rng(7), 250, 8)
+    near = [np.random.default_rng(i).permutation(300)[:63].astype(np.int16).tobytes() for i in range(len(x))]
+    rows = neighbours.pd.DataFrame({"file": 0, "ix": range(len(x)), "raw": [v.tobytes() for v in x], "near": near, "section": 0, "i": 0, "j": 0})
+    took = {}
+    for _ in range(3):
+        for name, search in (("orders", lambda: neighbours.search_section(rows, 5, neighbours.SHARE, neighbours.CHUNK, 0.9)), ("close", lambda: neighbours.close_section(rows, 5, 0.9, neighbours.CLOSE_FILE))):
+            began = time.perf_counter()
+            got = search()
+            took[name] = min(took.get(name, math.inf), time.perf_counter() - began)
+    assert set(zip(got["ix"].tolist(), got["nbr"].tolist())) == close_truth(x, 5, 0.9)
+    assert took["close"] < took["orders"]
+
+
+def test_greatest():
+    s = np.random.default_rng(8).normal(size=(50, 4000))
+    for width in (40, 2600, 4000):
+        assert (np.sort(neighbours.greatest(s[:, :width], 10)) == np.sort(np.argsort(-s[:, :width], axis=1)[:, :10])).all()
+
+
 def test_footrule():
     rng = np.random.default_rng(0)
     near = np.array([rng.permutation(40)[:32] for _ in range(6)] + [rng.permutation(40)[:32] + 100]).astype(np.int16)
