@@ -345,6 +345,61 @@ def test_matrix_prior_lda(spark):
         lda.MatrixPriorLDA(np.broadcast_to(1.0, (10_000, 10_000)))
 
 
+def plain_steps(own, counts, alpha, steps=200):
+    """gamma of one document, own (words, topics), by the textbook's loop."""
+    gamma = np.ones(own.shape[1])
+    for _ in range(steps):
+        theta = np.exp(lda.digamma(gamma))
+        last, gamma = gamma, alpha + theta * ((counts / (own @ theta))[:, None] * own).sum(0)
+        if np.abs(gamma - last).mean() < 1e-3:
+            break
+    return gamma
+
+
+def test_document_step_in_blocks():
+    """Blocks of documents, filled up with words of count 0, give what each document gives alone; factors of a word cancel."""
+    rng = np.random.default_rng(0)
+    own, counts, alpha = rng.gamma(0.3, 1, (40, 9, 12)), rng.integers(1, 4, (40, 9)).astype(float), rng.random(12) + 0.05
+    counts[::3, 6:] = 0
+    want = np.array([plain_steps(o[c > 0], c[c > 0], alpha) for o, c in zip(own, counts)])
+    exact = lda.document_step(own * rng.random((40, 9, 1)), counts, alpha, 200)
+    single = lda.document_step(own.astype(np.float32), counts.astype(np.float32), alpha.astype(np.float32), 200)
+    assert np.abs(exact - want).max() < 1e-6 and np.abs(single - exact).mean(1).max() < 0.01
+    assert np.abs(single.sum(1) - counts.sum(1) - alpha.sum()).max() < 1e-3
+    x = np.array([0.0096, 0.05, 1.0, 3.3, 40.0])
+    assert np.abs(lda._psi(x) - lda.digamma(x)).max() < 1e-9 and np.abs(lda._lgamma(x) - lda.log_gamma(x)).max() < 1e-9
+
+
+def test_packed_documents(spark):
+    rng = np.random.default_rng(1)
+    want = {d: sorted((int(w), int(rng.integers(1, 9))) for w in rng.choice(500, 1 + d % 90, replace=False)) for d in range(300)}
+    rows = frame(spark, [(d, w, c) for d, e in want.items() for w, c in e], "doc_id long, token_id int, tf long")
+    got, cells = [], 0
+    for r in lda.packed(rows).collect():
+        ids, counts = np.frombuffer(r["ids"], np.int32).reshape(r["n"], -1), np.frombuffer(r["counts"]).reshape(r["n"], -1)
+        got += [[(int(w), int(c)) for w, c in zip(i, k) if c] for i, k in zip(ids, counts)]
+        cells += ids.size
+    assert sorted(got) == sorted(want.values()) and cells < 1.2 * sum(map(len, got))
+
+
+def test_matrix_prior_beyond_single_precision(spark):
+    """Words whose topics exclude each other so far that single precision has no common topic lose no count."""
+    eta = np.full((2, 4), 1e-3)
+    eta[0, :2] = eta[1, 2:] = 1e6
+    rows = frame(spark, [(d, w, 3) for d in range(20) for w in range(4)], "doc_id long, token_id int, tf long")
+    model = lda.MatrixPriorLDA(eta, passes=2).fit(rows)
+    assert abs(model.lam.sum() - eta.sum() - 20 * 4 * 3) < 0.1 and all(np.isfinite(model.bounds))
+
+
+def test_symmetric_lda_takes_the_built_in_steps(spark):
+    """After one pass the weights differ from the start by the built-in model's small first step; the topics' weights are fitted."""
+    model = lda.MatrixPriorLDA(np.full((2, 10), 0.5), passes=1, online=True).fit(topics_corpus(spark))
+    start, part = np.random.default_rng(0).gamma(100.0, 0.01, (2, 10)), 1025.0**-0.51
+    total = topics_corpus(spark).agg(F.sum("tf")).first()[0]
+    assert abs(model.lam.sum() - ((1 - part) * start.sum() + part * (0.5 * 20 + total))) < 1e-3
+    assert len(model.alpha) == 2 and (model.alpha > 0).all() and (model.alpha != 0.5).any()
+
+
 def test_symmetric_lda(spark):
     sums = lda.symmetric(topics_corpus(spark), 10, topics=2, passes=3).groupBy("topic").agg(F.sum("weight").alias("s")).collect()
     assert len(sums) == 2 and all(abs(r["s"] - 1) < 1e-6 for r in sums)
